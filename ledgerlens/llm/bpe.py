@@ -16,11 +16,12 @@ import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from .common import documents
 
@@ -173,9 +174,12 @@ class Utf8Stream:
         self.due, self.low, self.high, self.code = 0, 0x80, 0xBF, 0
 
     def feed(self, data: bytes) -> str:
-        if not self.due and data.isascii():
-            return data.decode("ascii")
         out = []
+        if not self.due:  # what is well-formed needs no machine; it takes over at the first byte that isn't
+            try:
+                return data.decode("utf-8")
+            except UnicodeDecodeError as e:
+                out, data = [data[: e.start].decode("utf-8")], data[e.start :]
         for b in data:
             if self.due:
                 if self.low <= b <= self.high:
@@ -328,5 +332,29 @@ def digest(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
     return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
+def tokenized(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with ids (array of int), n_tokens and round_trip (whether the ids decode to the text) in
+    place of the text; columns of those names give way. Null text has no ids."""
+    path = vocabulary or default_vocabulary()
+    others = [c for c in docs.columns if c not in (text_col, "ids", "n_tokens", "round_trip")]
+    source = docs.select(*others, F.col(text_col).cast("binary").alias(text_col))
+
+    def run(batches):
+        for batch in batches:
+            machine = tokenizer(path)
+            packed, same = [], []
+            for text in _texts(batch.column(len(others))):
+                packed.append(machine.encode(text))
+                same.append(machine.decode(packed[-1]) == text)
+            n = [len(x) // 4 for x in packed]
+            offsets = pa.array([0, *accumulate(n)], pa.int32())
+            ids = pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(packed))])
+            columns = [*batch.columns[:-1], pa.ListArray.from_arrays(offsets, ids), pa.array(n, pa.int64()), pa.array(same, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, [*others, "ids", "n_tokens", "round_trip"])
+
+    schema = StructType([*(f for f in source.schema.fields[:-1]), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
+    return source.mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(documents(spark, sf_dir))

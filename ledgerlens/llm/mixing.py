@@ -48,20 +48,23 @@ def _near(lookup: DataFrame, n: int) -> DataFrame:
     return F.broadcast(lookup) if n <= BROADCAST_SOURCES else lookup
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: id, source, size, source_size, target, taken (words that the mix takes of it).
+def _hash(id_col: str, text_col: str) -> Column:
+    """HASH_BITS bits of the id (of the text, where that is null): rows that repeat it are taken or left together."""
+    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return F.conv(F.substring(F.md5(F.concat(key, F.lit(":mix"))), 1, HASH_BITS // 4), 16, 10).cast("long")
+
+
+def limits(sized: DataFrame) -> tuple[DataFrame, int]:
+    """Of (source, size, h): one row a source (s, source_size, target, passes, limit, nearer), and their number.
 
-    Null text has size 0; a null source is a source of its own, last in order. The hash is of the id (of the text,
-    where that is null), so rows that repeat it are taken or left together. Of the document at which a budget ends
-    the side nearer to the budget is taken, ties taken. A source without words has target and taken 0.
+    passes: how often all of the source is taken; limit: the hash below which a document is taken once more; nearer:
+    whether the documents of just that hash are, too, which brings the source closer to its budget.
     """
-    key = F.concat(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), F.lit(":mix"))
-    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h")), "sized")
     sums = staged(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     n = sums.count()
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(CAP))).otherwise(0).cast("long")
     state = sums.withColumn("passes", passes).withColumn("budget", F.col("target") - F.col("passes") * F.col("source_size"))
-    at = state.filter("source_size > 0").select(F.col("source").alias("s"), "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"), F.col("source_size").alias("within"))
+    at = state.filter("source_size > 0").select(F.col("source").alias("s"), "budget", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("before"))
     for shift in range(HASH_BITS - BITS, -1, -BITS):
         met = sized.join(_near(at.select("s", "budget", "prefix", "before"), n), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("h", shift + BITS) == F.col("prefix")))
         hist = met.groupBy("s", "budget", "before", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("within"))
@@ -71,10 +74,35 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ends = ends.filter((F.col("upto") - F.col("within") <= F.col("budget")) & (F.col("upto") > F.col("budget")))
         at = staged(ends.select("s", "budget", F.col("bucket").alias("prefix"), (F.col("upto") - F.col("within")).alias("before"), "within"), f"bucket{shift}")
     # a source whose budget is never passed (none left over) has no row: nothing beyond its passes is taken
-    limits = at.select("s", F.col("prefix").alias("limit"), (2 * F.col("before") + F.col("within") <= 2 * F.col("budget")).alias("nearer"))
-    known = state.join(limits, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "passes", "limit", "nearer")
-    extra = F.when((F.col("h") < F.col("limit")) | ((F.col("h") == F.col("limit")) & F.col("nearer")), 1).otherwise(0)
-    return sized.join(_near(known, n), F.col("source").eqNullSafe(F.col("s"))).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", ((F.col("passes") + extra) * F.col("size")).cast("long").alias("taken"), (F.col("passes") + extra).cast("int").alias("times"))
+    ended = at.select("s", F.col("prefix").alias("limit"), (2 * F.col("before") + F.col("within") <= 2 * F.col("budget")).alias("nearer"))
+    return state.join(ended, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "passes", "limit", "nearer"), n
+
+
+def _times(h: Column) -> Column:
+    extra = F.when((h < F.col("limit")) | ((h == F.col("limit")) & F.col("nearer")), 1).otherwise(0)
+    return (F.col("passes") + extra).cast("int")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per input row: id, source, size, source_size, target, taken (words that the mix takes of it), times.
+
+    Null text has size 0; a null source is a source of its own, last in order. Rows that repeat an id are taken or left
+    together. Of the document at which a budget ends the side nearer to the budget is taken, ties taken. A source
+    without words has target and taken 0. Other columns are not looked at; an empty table gives no rows.
+    """
+    sized = staged(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("h")), "sized")
+    known, n = limits(sized)
+    met = sized.join(_near(known, n), F.col("source").eqNullSafe(F.col("s"))).withColumn("times", _times(F.col("h")))
+    return met.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "times")
+
+
+def blend(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
+    sized = staged(docs.select(F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), _hash(id_col, text_col).alias("h")), "sized")
+    known, n = limits(sized)
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(source_col).alias("_source"), _hash(id_col, text_col).alias("_h"))
+    met = own.join(_near(known, n), F.col("_source").eqNullSafe(F.col("s"))).withColumn("_times", _times(F.col("_h")))
+    return met.filter("_times > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

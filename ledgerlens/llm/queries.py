@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, language_id, license_scan, mixing, quality, simhash, topk
 
 
 def queries() -> dict:
     found = {
+        "op3_quality": quality.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_byte_bpe": bpe.query,
         "op6_mix_sources": mixing.query,
+        "op7_language_id": language_id.query,
         "op8_exact_dedup": exact_dedup.query,
+        "op9_exact_top_k": topk.query,
+        "op10_license_scan": license_scan.query,
     }
-    return found
+    import corpus_pipeline
+
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL}
+    return {"op6_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_exact_top_k": topk.SQL, "op10_license_scan": license_scan.SQL}
