@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, license_scan, mixing, quality, simhash, topk
+from . import bpe, exact_dedup, language_id, license_scan, lm_score, mixing, quality, simhash, topk
 
 
 def queries() -> dict:
     found = {
+        "op1_lm_score": lm_score.query,
         "op3_quality": quality.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_byte_bpe": bpe.query,
@@ -22,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_exact_top_k": topk.SQL, "op10_license_scan": license_scan.SQL}
+    return {"op1_lm_score": lm_score.SQL, "op6_mix_sources": mixing.SQL, "op8_exact_dedup": exact_dedup.SQL, "op9_exact_top_k": topk.SQL, "op10_license_scan": license_scan.SQL}
