@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, language_id, license_scan, lm_score, mixing, quality, simhash, topk
+from . import bpe, exact_dedup, language_id, license_scan, lm_score, mixing, quality, simhash, suffix_dedup, topk
 
 
 def queries() -> dict:
     found = {
         "op1_lm_score": lm_score.query,
+        "op2_suffix_dedup": suffix_dedup.query,
         "op3_quality": quality.query,
         "op4_simhash_near_dedup": simhash.query,
         "op5_byte_bpe": bpe.query,
