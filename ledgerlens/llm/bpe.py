@@ -26,7 +26,9 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from .common import documents
 
 #: Bounds of what a worker remembers; beyond them it forgets and starts again, with the same results.
-MAX_PAIRS, MAX_PIECES = 1_000_000, 500_000
+MAX_PAIRS, MAX_PIECES = 500_000, 200_000
+#: Rows whose ids are held at once before they are handed on.
+ROWS = 256
 #: Bytes of a piece after which what is final is emitted.
 EMIT_EVERY = 4096
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -278,12 +280,18 @@ def _texts(column: pa.Array) -> Iterator[str]:
         yield "" if (data := x.as_buffer()) is None else data.to_pybytes().decode("utf-8", "replace")
 
 
+def _parts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ids (array of int): null and empty texts give no ids. Repeated rows are encoded alike."""
     path = vocabulary or default_vocabulary()
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             packed = [tokenizer(path).encode(t) for t in _texts(batch.column(1))]
             offsets = [0]
             for x in packed:
@@ -340,7 +348,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, text_col: str = "t
     source = docs.select(*others, F.col(text_col).cast("binary").alias(text_col))
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             machine = tokenizer(path)
             packed, same = [], []
             for text in _texts(batch.column(len(others))):
