@@ -393,9 +393,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     kind, id_type = dict(parts.dtypes)["id"], _arrow(parts)
     chunks = parts.groupBy("chunk")
     asked = chunks.applyInArrow(lambda t: _asked(t, n, length), "bucket int, chunk int, start long, inner binary, outer binary, several binary")
-    matched = asked.groupBy("bucket").applyInArrow(_matched, "chunk int, start long, codes binary")
+    # as many tasks as buckets: left to themselves, small shuffles are put together by size, which isn't what they cost
+    matched = asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_matched, "chunk int, start long, codes binary")
     sent = chunks.cogroup(matched.groupBy("chunk")).applyInArrow(lambda t, m: _sent(t, m, n, length), "bucket int, chunk int, run binary")
-    reached = sent.groupBy("bucket").applyInArrow(lambda t: _merged(t, length), "chunk int, start long, codes binary, reach binary")
+    reached = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(lambda t: _merged(t, length), "chunk int, start long, codes binary, reach binary")
     answers = matched.withColumn("reach", F.lit(None).cast("binary")).unionByName(reached)
     done = chunks.cogroup(answers.groupBy("chunk")).applyInArrow(lambda t, m: _cut(t, m, length, id_type), f"id {kind}, kept binary, n_bytes long, n_removed long, n_spans long")
     return done.withColumnRenamed("id", id_col)
