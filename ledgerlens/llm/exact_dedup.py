@@ -10,7 +10,7 @@ independent 64-bit hash of the normalised text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, documents, hot_join, staged
@@ -62,14 +62,12 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     further exchange.
     """
     records = digests(docs, id_col, text_col).withColumn("copies", F.lit(1).cast("long"))
-    kept = merge_runs(records).select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_kept_digest"), F.col("keep_points").alias("_kept_points"), F.col("group_size").alias("_n"))
+    kept = merge_runs(records).select("keep_id", "keep_points", F.col("digest").alias("keep_digest"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    marked = docs.withColumns({"_digest": F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)), "_points": F.char_length(text).cast("long")})
-    found = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")) & (F.col("_digest") == F.col("_kept_digest")) & (F.col("_points") == F.col("_kept_points")))
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("_keep", "_kept_digest", "_kept_points").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
-    return found.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)).alias("digest"), F.char_length(text).cast("long").alias("points"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest")) & (F.col("points") == F.col("keep_points")))
+    nth = F.row_number().over(Window.partitionBy("keep_id", "keep_digest", "keep_points").orderBy(F.xxhash64("row")))
+    return found.withColumn("nth", nth).filter("nth = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

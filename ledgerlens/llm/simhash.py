@@ -10,7 +10,7 @@ alternating large-star and small-star steps, whose aggregates are partial sums o
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, hot_join, staged
@@ -65,7 +65,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius != 2:
         raise ValueError("the ball is written out for a radius of 2: each side flips at most one bit")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    ball = distinct.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    ball = distinct.repartition("fp").select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     met = ball.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     pairs = met.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).filter("u > v")
     return pairs.filter(differing(F.col("u"), F.col("v")) <= radius).distinct()
@@ -119,12 +119,11 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Of rows that repeat such an id the first by a hash of all columns stays. Groups without an id are dropped to
     one row the same way.
     """
-    from pyspark.sql import Window
-
-    kept = near_dedup(docs, id_col, text_col).select(F.col("component_id").alias("_keep")).distinct()
-    found = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")))
-    nth = F.row_number().over(Window.partitionBy("_keep").orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
-    return found.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    kept = near_dedup(docs, id_col, text_col).select(F.col("component_id").alias("keep")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")))
+    nth = F.row_number().over(Window.partitionBy("keep").orderBy(F.xxhash64("row")))
+    return found.withColumn("nth", nth).filter("nth = 1").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
