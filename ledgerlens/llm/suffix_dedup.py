@@ -1,10 +1,12 @@
 """Removal of repeated byte strings by a distributed merge of front-coded sorted suffix runs.
 
-A string of LENGTH bytes that occurs twice has, at both places, the same anchor: the smallest hash of its K-byte
-parts. So only suffixes that begin at anchors are sorted, and a pair of suffixes matters only if it shares K bytes.
+A string of LENGTH bytes that occurs twice has, at both places, the same anchor: the smallest hash of its SEED-byte
+parts. It holds the K bytes from the anchor on, or else the K bytes that end where the anchor's SEED bytes end (K is
+half of LENGTH and SEED together). So only suffixes that begin at either place are sorted, and a pair of suffixes
+matters only if it shares K bytes; a common sentence shorter than that brings nothing together.
 
-1. Every chunk of documents sends the hashes of its anchors (of the K bytes, and of all that LENGTH-byte strings
-   around the anchor can reach) to the bucket of the K bytes. Where the whole surroundings repeat, the bucket answers
+1. Every chunk of documents sends the hashes of these places (of the K bytes, and of all that LENGTH-byte strings
+   around them can reach) to the bucket of the K bytes. Where the whole surroundings repeat, the bucket answers
    that everything there is repeated; where K bytes repeat in several surroundings, one chunk is asked for each.
 2. Those suffixes are exchanged as front-coded sorted runs and combined in the bucket by a loser tree that compares
    lengths of common prefixes, and characters only beyond them. In the merged order suffixes with K bytes in common
@@ -26,18 +28,22 @@ from pyspark.sql import functions as F
 from .common import documents
 from .exchange import BASE, Prefixes, blocks, dealt, mixed, pack_sorted, slices, texts, unpack_sorted
 
-LENGTH, K = 200, 32
+LENGTH, SEED = 200, 32
 BLOCK = 1 << 18
 _PREFIXES = Prefixes()
 #: Answers of the first round, as bits: the whole surroundings repeat; send the suffix.
 WHOLE, SEND = 1, 2
 
 
-def anchors(b, starts, length: int = LENGTH, k: int = K):
-    """(position, hash of the k bytes there) of the anchors of a block of texts that begin and end at ``starts``."""
-    none = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def shared(length: int) -> int:
+    """K: the bytes that suffixes must have in common to matter to each other."""
+    return (length + SEED) // 2
+
+
+def anchors(b, starts, length: int = LENGTH, k: int = SEED):
+    """Positions of the anchors of a block of texts that begin and end at ``starts``."""
     if len(b) < length:
-        return none
+        return np.zeros(0, np.int64)
     h, power, n = b.astype(np.uint64) + np.uint64(1), BASE, 1
     while n < k:  # k is a power of two
         h = h[:-n] * np.uint64(power) + h[n:]
@@ -52,8 +58,7 @@ def anchors(b, starts, length: int = LENGTH, k: int = K):
     np.add.at(whole, (starts[1:] - length + 1)[lengths >= length], -1)
     least[np.cumsum(whole[:-1]) == 0] = 0
     edge = np.zeros(w - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), w, np.maximum) == h)
-    return at, h[at]
+    return np.flatnonzero(_slide(np.concatenate([edge, least, edge]), w, np.maximum) == h)
 
 
 def _slide(x, w: int, least):
@@ -65,20 +70,26 @@ def _slide(x, w: int, least):
 
 
 class Chunk:
-    """The anchors of a chunk's texts: by text and offset, with the number of their (K bytes, surroundings) pair."""
+    """The places of a chunk's texts: by text and offset, with the number of their (K bytes, surroundings) pair."""
 
-    def __init__(self, parts: list, length: int = LENGTH, k: int = K):
+    def __init__(self, parts: list, length: int = LENGTH):
+        k = shared(length)
         self.parts, self.length = parts, length
         owner, offset, inner, outer, left, right = [], [], [], [], [], []
         for first, b, starts in blocks(parts, BLOCK):
-            at, h = anchors(b, starts, length, k)
+            at = anchors(b, starts, length)
+            text = np.searchsorted(starts, at, side="right") - 1
+            back = at - (length - k)
+            at, text = np.concatenate([at, back]), np.concatenate([text, text])
+            inside = (at >= starts[text]) & (at + k <= starts[text + 1])
+            at, first_of = np.unique(at[inside], return_index=True)
+            text = text[inside][first_of]
             if not len(at):
                 continue
-            text = np.searchsorted(starts, at, side="right") - 1
             l = np.minimum(at - starts[text], length - k)
             r = np.minimum(starts[text + 1] - at, length)
             sums = _PREFIXES.sums(b)
-            for box, x in ((owner, first + text), (offset, at - starts[text]), (inner, h), (left, l), (right, r), (outer, mixed(_PREFIXES.hashes(sums, at - l, at + r) + l.astype(np.uint64) * np.uint64(BASE)))):
+            for box, x in ((owner, first + text), (offset, at - starts[text]), (inner, _PREFIXES.hashes(sums, at, at + k)), (left, l), (right, r), (outer, mixed(_PREFIXES.hashes(sums, at - l, at + r) + l.astype(np.uint64) * np.uint64(BASE)))):
                 box.append(x)
         joined = lambda xs, t: np.concatenate(xs) if xs else np.zeros(0, t)
         self.owner, self.offset, self.left, self.right = (joined(x, np.int64) for x in (owner, offset, left, right))
@@ -245,7 +256,7 @@ def merge(runs: list[Run]):
             node //= 2
 
 
-def reach(rows: list[tuple[bytes, bytes, bool]], length: int, k: int = K, base: int = BASE):
+def reach(rows: list[tuple[bytes, bytes, bool]], length: int, k: int, base: int = BASE):
     """For (suffix, left, whole) rows: how far the repeated bytes reach to the left and to the right of the anchor.
 
     Of each string of ``length`` bytes that holds the anchor at offset j the hash is compared among all rows; a row
@@ -301,7 +312,7 @@ def _merged(table: pa.Table, length: int) -> pa.Table:
     out: dict[int, list] = {}
 
     def settle(rows: list) -> None:
-        a, b = reach([(r[0], r[1], r[4]) for r in rows], length)
+        a, b = reach([(r[0], r[1], r[4]) for r in rows], length, shared(length))
         for r, x, y in zip(rows, a.tolist(), b.tolist()):
             if y:
                 out.setdefault(r[2], []).append((r[3], x, y))
@@ -309,7 +320,7 @@ def _merged(table: pa.Table, length: int) -> pa.Table:
     group: list = []
     held: list = []
     for lcp, *row in merge(runs):
-        if lcp < K:
+        if lcp < shared(length):
             if len(group) > 1:
                 held += group
                 if len(held) >= ROWS_AT_ONCE:
