@@ -460,7 +460,7 @@ class Reads:
         return name
 
     def _table_functions(self) -> set[str]:
-        return {"subject_column", "dataset_cells", "dataset_columns", "series_aggregate", "hierarchy_candidates", "relationship_candidates", "relationship_checks", "derivation_candidates", "definition_collisions", "additivity_cells", "additivity_anchors", "column_profile_of", "outlier_profile_of", "temporal_profile_of", "geometry_profile_of", "lineage_of", "lineage_edges", "place", "definitions", "kind_assets", "kind_edges", "kind_places", "glossary", "tests", "outdated", *READ_FUNCTIONS} | {f["name"] for f in self.store.current("functions") if f["returns"]}
+        return {"subject_column", "dataset_cells", "dataset_columns", "series_aggregate", "hierarchy_candidates", "relationship_candidates", "relationship_checks", "derivation_candidates", "definition_collisions", "additivity_cells", "additivity_anchors", "column_profile_of", "outlier_profile_of", "temporal_profile_of", "geometry_profile_of", "lineage_of", "lineage_edges", "views_lineage", "views_scans", "views_joins", "views_mapping", "tables_read", "place_list", "place", "definitions", "kind_assets", "kind_edges", "kind_places", "glossary", "tests", "outdated", *READ_FUNCTIONS} | {f["name"] for f in self.store.current("functions") if f["returns"]}
 
     def _calls(self, text: str) -> list[tuple[str, list, int, int]]:
         """(name, arguments, start, end) of the table functions called where a relation stands."""
@@ -545,6 +545,12 @@ class Reads:
             return spark.createDataFrame([(a,) for a in self.place(path, args[1])[0]], "asset string")
         if name == "definitions":
             return self.definitions(path)
+        if name == "place_list":
+            return spark.createDataFrame([(p,) for p in PLACES] + sorted({(r[1],) for r in self.kind_rows("places", ds)}), "`where` string")
+        if name == "tables_read":
+            return spark.createDataFrame([(t,) for t in self._through(self._direct(f"{ds}.{table}")) if not self._is_view(t)], "asset string")
+        if name.startswith("views_"):
+            return self._views(ds, table, name[6:])
         if name == "lineage_edges":
             return spark.createDataFrame(self.edges(ds), "`from` string, `to` string, kind string")
         if name.startswith("kind_"):
@@ -592,6 +598,17 @@ class Reads:
         f = self.function(name, ds)
         return self.body(f, Subject(path, grain_of(path), ds or split(sides(path)[0])[0], table, column))
 
+    def _views(self, ds: str, view: str | None, what: str) -> DataFrame:
+        """Of the stored lineage of a dataset's views (or one), a row per column, scan, join or mapped column."""
+        told = [(f"{ds}.{v}", self.view_lineage(f"{ds}.{v}")) for v in self.views_of(ds) if view in (None, v)]
+        schema, row = {
+            "lineage": ("view string, column string, derivation string, shape string, complete boolean", lambda v, x: [(v, c["column"], c["derivation"], c["shape"], x["complete"]) for c in x["columns"]]),
+            "scans": ("view string, table string, columns array<string>", lambda v, x: [(v, s["table"], s["columns"]) for s in x["scans"]]),
+            "joins": ("view string, join int, left string, right string, left_unique boolean, right_unique boolean", lambda v, x: [(v, *(j[k] for k in ("join", "left", "right", "left_unique", "right_unique"))) for j in x["joins"]]),
+            "mapping": ("view string, column string, branch int, source string, derivation string", lambda v, x: [(v, *(m[k] for k in ("column", "branch", "source", "derivation"))) for m in x["mapping"]]),
+        }[what]
+        return self.spark.createDataFrame([r for v, x in told for r in row(v, x)], schema)
+
     def _once(self, key: tuple, make):
         held = getattr(self, "_shared", None)
         if held is None:

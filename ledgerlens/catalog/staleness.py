@@ -115,6 +115,7 @@ class Check:
                 by[key, what].append((at, dataset, function))
         self.changed: dict[int, set[tuple[str, str]]] = defaultdict(set)
         self.reads: list[tuple[int, int, str, str]] = []
+        expired = {r["asset"].lower() for r in store.current("expired")}
         holders: dict[tuple, list[dict]] = defaultdict(list)
         for r in now.values():
             for what in (f"result {r['function']}", f"value {r['property']}"):
@@ -124,6 +125,8 @@ class Check:
             if r is None:
                 continue
             asset, what = i["asset"], i["what"]
+            if what in ("definition", "data") and asset.lower() in expired and not by[asset.lower(), what]:
+                self.changed[r["id"]].add((asset, what))  # none of its rows are left
             for key in _definition_keys(asset) if what == "definition" else [asset.lower()]:
                 for at, dataset, function in by[key, what]:
                     if at > r["read_at"] and dataset in (None, r["dataset"]) and (function is None or function != r["function"]):
