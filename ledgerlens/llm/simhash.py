@@ -65,7 +65,9 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius != 2:
         raise ValueError("the ball is written out for a radius of 2: each side flips at most one bit")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    ball = distinct.repartition("fp").select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
+    # a few bytes become 65 rows: so many tasks as shuffles have, not as few as so small a table would be read by
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    ball = spread.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"))
     met = ball.groupBy("variant").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     pairs = met.select(F.explode("fps").alias("u"), F.array_min("fps").alias("v")).filter("u > v")
     return pairs.filter(differing(F.col("u"), F.col("v")) <= radius).distinct()
