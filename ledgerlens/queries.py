@@ -5,6 +5,9 @@ Doubles that come from sums are rounded, as their last bits depend on the order
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -340,6 +343,116 @@ def duplicate_keys_lineitem(spark, sf_dir):
     return loads.duplicate_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey"]).withColumnRenamed("rows", "n")
 
 
+def _balances(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A running total per nation and month, and the orders that move it, as additivity cells hold them."""
+    met = _t(spark, sf_dir, "orders").join(_t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    day = met.groupBy(F.col("c_nationkey").cast("string").alias("entity"), F.date_trunc("day", "o_orderdate").alias("period")).agg(F.sum("o_totalprice").alias("value"))
+    month = day.groupBy("entity", F.date_trunc("month", "period").alias("period")).agg(F.sum("value").alias("m"))
+    return day, month.select("entity", "period", F.sum("m").over(Window.partitionBy("entity").orderBy("period")).alias("value"))
+
+
+@_query("""
+WITH f AS (SELECT c_nationkey AS e, date_trunc('month', o_orderdate) AS b, sum(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+s AS (SELECT *, sum(m) OVER (PARTITION BY e ORDER BY b) AS y FROM f),
+r AS (SELECT e, sum(abs(y - m)) / sum(m) AS r_flow FROM s GROUP BY e)
+SELECT 'orders' AS event, 'month' AS grain, 'none' AS scope, count(*) AS entities, count(*) AS viable_entities, 'semi-additive' AS result, 'o_totalprice' AS convention, count(*) AS voted,
+  1.0::DOUBLE AS agreement, round((1 + 1.9208 / count(*) - 1.96 * sqrt(0.9604) / count(*)) / (1 + 3.8416 / count(*)), 6) AS support, round(median(r_flow), 4) AS r_flow
+FROM r""")
+def additivity_anchors_orders(spark, sf_dir):
+    day, stock = _balances(spark, sf_dir)
+    kind = "side string, event string, align string, measure_align string, axis string, term string, identifier boolean, entity string, period timestamp, value double, reason string"
+
+    def piece(df, **fixed):
+        names = [p.split(" ") for p in kind.split(", ")]
+        return df.select(*[(F.lit(fixed[n]) if n in fixed else F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in names])
+
+    made = piece(stock, side="measure", align="nation", axis="month").unionByName(piece(day, side="event", event="orders", align="nation", axis="day", term="o_totalprice"))
+    made = made.unionByName(piece(spark.range(1), side="alignment", event="orders", align="nation", measure_align="nation", axis="day"))
+    found = additivity.additivity_anchors(made).filter("grain = 'month' AND scope = 'none' AND convention <> 'monotone'")
+    return found.select("event", "grain", "scope", "entities", "viable_entities", "result", "convention", "voted", "agreement", F.round("support", 6).alias("support"), F.round("r_flow", 4).alias("r_flow"))
+
+
+def _workspace(spark, sf_dir):
+    """A workspace over the nation and region tables, made for one query."""
+    from . import kits
+    from .catalog.workspace import Workspace
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base.removeprefix("file://") if base and (base.startswith("/") or base.startswith("file:/")) else tempfile.gettempdir()
+    name = f"q_{uuid.uuid4().hex[:10]}"
+    ws = Workspace(spark, f"{base}/ledgerlens-ws/{name}")
+    ws.execute(f"DECLARE SOURCE files SET (type: parquet, location: '{sf_dir}'); DECLARE DATASET {name} SET (purpose: 'query'); USE {name};" + "".join(f"DECLARE RECIPE {t} ON {name} FROM files AS $$SELECT * FROM read_parquet('{t}.parquet')$$;" for t in ("nation", "region")))
+    kits.load(ws, "kpi", "quality")
+    return ws, name
+
+
+@_query(" UNION ALL ".join(f"SELECT 'nation.{c}' AS subject, CAST(count(*) AS BIGINT) AS total, count(DISTINCT {c}) AS distinct_values, CAST(min({c}) AS VARCHAR) AS least FROM nation" for c in ("n_nationkey", "n_name", "n_regionkey")))
+def workspace_extraction_nation(spark, sf_dir):
+    ws, name = _workspace(spark, sf_dir)
+    got = ws.sql("SELECT column_profile() FROM nation")
+    number = lambda k: F.get_json_object("value", f"$.{k}").cast("long")
+    return got.select(F.substring_index("subject", ".", -2).alias("subject"), number("total").alias("total"), number("distinct").alias("distinct_values"), F.get_json_object("value", "$.min").alias("least"))
+
+
+@_query("SELECT * FROM (VALUES ('nation', 'entity', 'missing'), ('nation', 'meaning', 'current'), ('nation.n_name', 'meaning', 'missing'), ('nation.n_name', 'role', 'current'), ('nation.n_name', 'dimension', 'missing'), ('nation.n_nationkey', 'meaning', 'missing'), ('nation.n_nationkey', 'role', 'missing'), ('nation.n_regionkey', 'meaning', 'missing'), ('nation.n_regionkey', 'role', 'missing')) v(subject, property, state)")
+def workspace_glossary_nation(spark, sf_dir):
+    ws, name = _workspace(spark, sf_dir)
+    ws.execute("GLOSS meaning ON nation AS $${\"value\": \"countries\"}$$; GLOSS role ON nation.n_name AS $${\"value\": \"dimension\"}$$")
+    return ws.sql("SELECT * FROM GLOSSARY(nation)").select(F.expr(f"substring(subject, {len(name) + 2})").alias("subject"), "property", "state")
+
+
+@_query("SELECT 'nation.n_name' AS subject, 'role_test' AS test, 'red' AS state, 1.0::DOUBLE AS score, true AS current")
+def workspace_tests_nation(spark, sf_dir):
+    from .catalog.workspace import Workspace
+
+    ws, name = _workspace(spark, sf_dir)
+    ws.sql("GLOSS role ON nation.n_name AS $${\"value\": \"dimension\"}$$")
+    human = Workspace(spark, ws.path, actor="human")
+    human.execute(f"USE {name}; GLOSS role ON nation.n_name AS $${{\"value\": \"key\"}}$$; SELECT role_test() FROM nation")
+    return human.sql("SELECT * FROM TESTS(nation)").select(F.expr(f"substring(subject, {len(name) + 2})").alias("subject"), "test", "state", "score", "current")
+
+
+@_query("SELECT * FROM (VALUES ('column_profile', 'nation.n_name', 'data', 'changed'), ('column_profile', 'nation.n_nationkey', 'data', 'changed'), ('column_profile', 'nation.n_regionkey', 'data', 'changed')) v(function, subject, what, reason)")
+def workspace_outdated_nation(spark, sf_dir):
+    ws, name = _workspace(spark, sf_dir)
+    ws.execute("SELECT column_profile() FROM nation; IMPORT nation")
+    return ws.sql("SELECT * FROM outdated()").select("function", F.expr(f"substring(subject, {len(name) + 2})").alias("subject"), "what", "reason")
+
+
+@_query("SELECT true AS applicable, count(*) AS filled, CAST(0 AS BIGINT) AS orphans, 0.0::DOUBLE AS orphan_rate FROM nation JOIN region ON n_regionkey = r_regionkey")
+def workspace_relationship_coherence(spark, sf_dir):
+    ws, _ = _workspace(spark, sf_dir)
+    ws.sql("DECLARE RELATIONSHIP nation.n_regionkey -> region.r_regionkey")
+    got = ws.sql("SELECT relationship_coherence() FROM nation.n_regionkey -> region.r_regionkey")
+    value = lambda k, t: F.get_json_object("value", f"$.{k}").cast(t).alias(k)
+    return got.select(value("applicable", "boolean"), value("filled", "long"), value("orphans", "long"), value("orphan_rate", "double"))
+
+
+@_query("SELECT * FROM (VALUES ('r_name', 'region.r_name', NULL), ('nations', 'nation.n_nationkey', NULL), ('share', 'nation.n_nationkey', 'ratio')) v(\"column\", source, shape)")
+def workspace_view_lineage(spark, sf_dir):
+    ws, name = _workspace(spark, sf_dir)
+    ws.sql(f"GLOSS by_region ON {name} AS $${{\"kind\": \"table\", \"sql\": \"SELECT r_name, count(n_nationkey) AS nations, sum(n_nationkey) / count(n_nationkey) AS share FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name\"}}$$")
+    told = ws.sql(f"SELECT * FROM views_mapping('{name}') m").join(ws.sql(f"SELECT * FROM views_lineage('{name}') l").select("column", "shape"), "column").join(ws.sql("SELECT lineage() FROM by_region").select("function"))
+    return told.select("column", F.expr(f"substring(source, {len(name) + 2})").alias("source"), "shape")
+
+
+@_query("SELECT doc_id, CASE WHEN quality > 0 THEN '$.quality: must be at most 0' END AS failure FROM labels")
+def json_schema_checks_labels(spark, sf_dir):
+    from .catalog import jsonschema
+
+    jsonschema.register(spark)
+    rows = _t(spark, sf_dir, "labels").select("doc_id", F.to_json(F.struct("quality", "toxic")).alias("body"))
+    schema = '{"type": "object", "required": ["quality"], "properties": {"quality": {"type": "integer", "maximum": 0}}}'
+    return rows.select("doc_id", F.call_function("json_schema_check", F.lit(schema), "body").alias("failure"))
+
+
+@_query("SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS sum_value FROM events GROUP BY 1, 2")
+def windowed_sums_events(spark, sf_dir):
+    from .streaming import merge
+
+    return merge.windowed(_t(spark, sf_dir, "events"), "ts", ["event_type"], ["value"], length="1 hour").withColumn("sum_value", F.round("sum_value", 6))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
