@@ -20,7 +20,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked fingerprints the smallest id stays."""
+    """Of each group of near copies (linked fingerprints, or five-word similarity from 0.8) the smallest id stays."""
     return simhash.survivors(docs)
 
 

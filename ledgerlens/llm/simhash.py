@@ -5,6 +5,11 @@ fingerprint emits all its variants within half the radius, variants are shuffled
 one are verified and linked to the smallest of them. A variant has at most 65 such fingerprints, whatever the data,
 so no group grows with the input; copies meet as one fingerprint beforehand. Components of the links are found by
 alternating large-star and small-star steps, whose aggregates are partial sums of their keys.
+
+``survivors`` links, besides, documents whose sets of WORDS-word shingles have a similarity (Jaccard) of SIMILARITY or
+more. At that similarity 64 bits differ in far more than RADIUS, so a second, wide fingerprint of BLOCKS blocks is
+taken, and the ball is hashed in each block: a pair is a candidate if any block differs in RADIUS bits at most.
+Candidates are verified on the fingerprints, then on the whole sets of shingles, so that no other document is lost.
 """
 
 from __future__ import annotations
@@ -14,11 +19,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, hot_join, staged
+from .exchange import BASE, mixed
 
 #: Bits in which linked fingerprints may differ; even, as half of it is what each side gives.
 RADIUS = 2
 SHINGLE = 3
 MAX_ROUNDS = 60
+#: The similarity of whole sets of shingles from which ``survivors`` calls documents near copies.
+WORDS, SIMILARITY = 5, 0.8
+#: The wide fingerprint: blocks of 32 bits, over the set of FEATURE-word shingles, which a changed word disturbs less
+#: than longer ones. Of random pairs with a similarity of just 0.8 through single changed words 98 % meet in a block.
+BLOCKS, FEATURE = 8, 2
+#: Bits of the wide fingerprint in which candidates may differ (at SIMILARITY 39 are expected, the deviation is 6).
+WIDE_RADIUS = 64
+#: Up to so many rows of one id each go to all executors.
+BROADCAST_NODES = 200_000
 
 
 def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
@@ -115,16 +130,142 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingles(words: list[bytes], size: int):
+    """Hashes of the distinct runs of ``size`` words, ascending; of fewer words, of the whole sequence; none: empty."""
+    import numpy as np
+    import xxhash
+
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    size = min(size, len(h))
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    for j in range(size):
+        out = mixed(out * np.uint64(BASE) + h[j : j + n])
+    return np.unique(out)
+
+
+def wide_fingerprint(words: list[bytes]):
+    """The fingerprint of BLOCKS * 32 bits over the set of FEATURE-word shingles, as BLOCKS / 2 unsigned longs."""
+    import numpy as np
+
+    found, lanes, step = shingles(words, FEATURE), BLOCKS // 2, 1 << 14
+    counts = np.zeros(64 * lanes, np.int64)
+    for i in range(0, len(found), step):
+        part = found[i : i + step]
+        hashes = np.stack([mixed(part + np.uint64(BASE * (k + 1) % (1 << 64))) for k in range(lanes)], axis=1)
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(found)).view(np.uint64)
+
+
+def set_digest(found) -> tuple[int, int]:
+    """128 bits that stand for a set of hashes."""
+    import numpy as np
+
+    return int(mixed(found).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(found ^ np.uint64(BASE)), initial=np.uint64(len(found))))
+
+
+def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, digest, fp, a, b, w0..): of each row a hash of its text, both fingerprints, the digest of its set of shingles."""
+    lanes = [f"w{k}" for k in range(BLOCKS // 2)]
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            rows = np.zeros((batch.num_rows, 3 + len(lanes)), np.uint64)
+            for row, text in zip(rows, batch.column(2)):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                words = data.lower().split()
+                row[:3] = fingerprint(data), *set_digest(shingles(words, WORDS))
+                row[3:] = wide_fingerprint(words)
+            signed = rows.view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(signed[:, k])) for k in range(signed.shape[1])]], ["id", "digest", "fp", "a", "b", *lanes])
+
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, digest long, fp long, a long, b long, " + ", ".join(f"{w} long" for w in lanes))
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(u, v), u > v, of (node, w0..): pairs that meet in a block and differ in WIDE_RADIUS bits at most.
+
+    A cell is a value of a block. Its nodes are tied to the first and the last of them by a hash that is another in
+    each cell; those two stand for the cell, which emits its variants within half the radius. So a variant has at most
+    66 nodes, whatever the data, each tied to the first and to the one before it: never all pairs of a group.
+    """
+    lanes = [F.col(f"w{k}") for k in range(BLOCKS // 2)]
+    values = [x for w in lanes for x in (F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))]
+    cells = nodes.select("node", F.posexplode(F.array(*values)).alias("block", "value")).select("node", F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("value")).alias("cell"))
+    by = F.struct(F.xxhash64("node", "cell").alias("h"), "node")
+    ends = staged(cells.groupBy("cell").agg(F.min(by).alias("p"), F.max(by).alias("q")).select("cell", F.col("p.node").alias("p"), F.col("q.node").alias("q")), "cells")
+    within = cells.join(ends.filter("p != q"), "cell").select(F.col("node").alias("x"), F.explode(F.array("p", "q")).alias("y"))
+    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(32)))])
+    spread = ends.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
+    ball = spread.select("cell", F.explode(F.array_distinct(F.array("p", "q"))).alias("node")).select("node", F.explode(flips).alias("flip"), "cell").select("node", F.col("cell").bitwiseXOR(F.col("flip")).alias("variant"))
+    met = ball.groupBy("variant").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1)
+    ordered = met.select(F.array_sort(F.transform("nodes", lambda x: F.struct(F.xxhash64(x, "variant").alias("h"), x.alias("node")))).alias("s"))
+    tied = ordered.select("s", F.posexplode(F.col("s.node")).alias("at", "x")).filter("at > 0").select("x", F.explode(F.array(F.col("s")[0]["node"], F.col("s")[F.col("at") - 1]["node"])).alias("y"))
+    pairs = within.unionByName(tied).filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    for end in "uv":
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(BLOCKS // 2)]), end)
+    return pairs.filter(sum(differing(F.col(f"u{k}"), F.col(f"v{k}")) for k in range(BLOCKS // 2)) <= WIDE_RADIUS).select("u", "v")
+
+
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` whose texts' whole sets of shingles have the similarity; only texts of pairs are read out."""
+    asked = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "id", "digest", "a", "b"), "node"), "asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked
+    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).cast("binary").alias("text"))
+    met = own.join(asked, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("node", "text", "a", "b")
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            names, sets = [], []
+            for node, text, a, b in zip(*[batch.column(k) for k in range(4)]):
+                found = shingles((text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split(), WORDS)
+                if set_digest(found) == (a.as_py() % (1 << 64), b.as_py() % (1 << 64)):
+                    names.append(node.as_py())
+                    sets.append(found.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "found"])
+
+    sets = staged(met.mapInArrow(run, "node long, found array<long>"), "sets")
+    for end in "uv":
+        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("found").alias(f"of_{end}")), end)
+    shared = pairs.select("u", "v", F.size(F.array_intersect("of_u", "of_v")).alias("both"), (F.size("of_u") + F.size("of_v")).alias("sum"))
+    return shared.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("u", "v").distinct()
+
+
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id names their component: one document of each group.
+    """The rows of ``docs``, with all their columns, one of each group of near copies: the one of the smallest id.
 
-    Of rows that repeat such an id the first by a hash of all columns stays. Groups without an id are dropped to
-    one row the same way.
+    Documents are linked if their fingerprints are (as in ``near_dedup``), or if their sets of WORDS-word shingles have
+    a similarity of SIMILARITY or more; texts without words are one group. A null id comes after all others, and of
+    rows that repeat id and text the first by a hash of all columns stays. An empty table gives an empty result.
     """
-    kept = near_dedup(docs, id_col, text_col).select(F.col("component_id").alias("keep")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"))
-    found = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")))
-    nth = F.row_number().over(Window.partitionBy("keep").orderBy(F.xxhash64("row")))
+    signed = staged(signatures(docs, id_col, text_col), "signatures")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
+    lanes = [f"w{k}" for k in range(BLOCKS // 2)]
+    classes = signed.groupBy("a", "b").agg(first, *[F.min(w).alias(w) for w in lanes])
+    # numbered where it is written, and only read from then on
+    nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "first.*", *lanes), "nodes")
+    pairs = staged(candidates(nodes), "candidates")
+    near = similar(docs, nodes, pairs, id_col, text_col)
+    of = staged(signed.select("fp", "a", "b").distinct().join(nodes.select("a", "b", "node"), ["a", "b"]).select("fp", "node"), "prints")
+    least = staged(of.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    same = of.join(least, "fp").filter("node > least").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    close = links(least.select("fp"))
+    for end, name in (("u", "x"), ("v", "y")):
+        close = close.join(least.select(F.col("fp").alias(end), F.col("least").alias(name)), end)
+    every = near.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(same).unionByName(close.select("x", "y"))
+    roots = components(every.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    lost = nodes.select("node", "no_id", "id", "digest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = lost.groupBy("root").agg(F.min(F.struct("no_id", "id", "digest")).alias("first")).select(F.col("first.id").alias("keep"), F.col("first.digest").alias("keep_digest"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    found = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("keep_digest")))
+    nth = F.row_number().over(Window.partitionBy("keep", "keep_digest").orderBy(F.xxhash64("row")))
     return found.withColumn("nth", nth).filter("nth = 1").select("row.*")
 
 

@@ -111,6 +111,65 @@ def test_near_dedup_groups(spark):
     assert simhash.near_dedup(docs(spark, rows).limit(0)).count() == 0
 
 
+def brute_survivors(rows):
+    """The rows that stay, by comparing every pair: linked fingerprints or five-word similarity of 0.8 and more."""
+    runs = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        runs.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    prints, parent = [brute_fingerprint(t) for _, t in rows], list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(runs[i] & runs[j])
+            if runs[i] == runs[j] or shared >= 0.8 * (len(runs[i]) + len(runs[j]) - shared) or bin(prints[i] ^ prints[j]).count("1") <= 2:
+                parent[root(i)] = root(j)
+    groups = collections.defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        groups[root(i)].append((d is None, d))
+    return sorted((min(g)[1] for g in groups.values()), key=str)
+
+
+def test_survivors_against_brute_force(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7)))
+    vocabulary = [word() for _ in range(600)]
+    rows = []
+    for _ in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(40, 400))]
+        rows.append(" ".join(base))
+        for _ in range(rng.randint(0, 4)):
+            other, share = list(base), rng.choice([0.004, 0.01, 0.018, 0.03, 0.06])
+            for _ in range(max(1, int(share * len(base)))):
+                other[rng.randrange(len(other))] = word()
+            rows.append(" ".join(other) if rng.random() < 0.8 else " ".join(other).upper())
+    rows += ["one", "One", "one two", "one two three four", "a b c d e", "x y " * 50, "x y " * 60, None, "", " \n", "é " * 30]
+    rng.shuffle(rows)
+    rows = [(i if rng.random() < 0.95 else None, t) for i, t in enumerate(rows)]
+    frame = docs(spark, rows + [(rows[0][0], rows[0][1])]).repartition(5)
+    got = simhash.survivors(frame)
+    assert got.columns == frame.columns
+    assert sorted((r.doc_id for r in got.collect()), key=str) == brute_survivors(rows)
+
+
+def test_candidates_of_a_large_group(spark):
+    """Near copies of one text by the hundred: all are linked though no variant gathers more than a few of them."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    rows = []
+    for i in range(300):
+        other = list(base)
+        for _ in range(rng.randint(1, 4)):
+            other[rng.randrange(300)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(other)))
+    assert [r.doc_id for r in simhash.survivors(docs(spark, rows)).collect()] == [0]
+
+
 def brute_removed(rows, length):
     seen = collections.Counter()
     for _, t in rows:
