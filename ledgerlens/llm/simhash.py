@@ -187,33 +187,51 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, digest long, fp long, a long, b long, " + ", ".join(f"{w} long" for w in lanes))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(u, v), u > v, of (node, w0..): pairs that meet in a block and differ in WIDE_RADIUS bits at most.
+def cells(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, cell), a cell being a value of a block, and (cell, p, q): its first and last node by a hash.
 
-    A cell is a value of a block. Its nodes are tied to the first and the last of them by a hash that is another in
-    each cell; those two stand for the cell, which emits its variants within half the radius. So a variant has at most
-    66 nodes, whatever the data, each tied to the first and to the one before it: never all pairs of a group.
+    Those two stand for the cell. The hash is the same in all cells, so that those of a large group name the same few.
     """
     lanes = [F.col(f"w{k}") for k in range(BLOCKS // 2)]
     values = [x for w in lanes for x in (F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))]
-    cells = nodes.select("node", F.posexplode(F.array(*values)).alias("block", "value")).select("node", F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("value")).alias("cell"))
-    by = F.struct(F.xxhash64("node", "cell").alias("h"), "node")
-    ends = staged(cells.groupBy("cell").agg(F.min(by).alias("p"), F.max(by).alias("q")).select("cell", F.col("p.node").alias("p"), F.col("q.node").alias("q")), "cells")
-    within = cells.join(ends.filter("p != q"), "cell").select(F.col("node").alias("x"), F.explode(F.array("p", "q")).alias("y"))
+    of = nodes.select("node", F.posexplode(F.array(*values)).alias("block", "value")).select("node", F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("value")).alias("cell"))
+    by = F.struct(F.xxhash64("node").alias("h"), "node")
+    return of, staged(of.groupBy("cell").agg(F.min(by).alias("p"), F.max(by).alias("q")).select("cell", F.col("p.node").alias("p"), F.col("q.node").alias("q")), "cells")
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (u, v), u > v, of (x, y)."""
+    return pairs.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+
+
+def within_cells(of: DataFrame, ends: DataFrame) -> DataFrame:
+    """(u, v): the nodes of a cell with its first and its last."""
+    return ordered(of.join(ends.filter("p != q"), "cell").select(F.col("node").alias("x"), F.explode(F.array("p", "q")).alias("y")))
+
+
+def across_cells(ends: DataFrame) -> DataFrame:
+    """(u, v): cells emit their variants within half the radius; who meets on one, with the first and the last there.
+
+    A variant has at most 66 nodes, whatever the data, and never gives all pairs of them.
+    """
     flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(32)))])
-    spread = ends.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
+    spread = ends.repartition(int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
     ball = spread.select("cell", F.explode(F.array_distinct(F.array("p", "q"))).alias("node")).select("node", F.explode(flips).alias("flip"), "cell").select("node", F.col("cell").bitwiseXOR(F.col("flip")).alias("variant"))
     met = ball.groupBy("variant").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1)
-    ordered = met.select(F.array_sort(F.transform("nodes", lambda x: F.struct(F.xxhash64(x, "variant").alias("h"), x.alias("node")))).alias("s"))
-    tied = ordered.select("s", F.posexplode(F.col("s.node")).alias("at", "x")).filter("at > 0").select("x", F.explode(F.array(F.col("s")[0]["node"], F.col("s")[F.col("at") - 1]["node"])).alias("y"))
-    pairs = within.unionByName(tied).filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+    row = met.select(F.array_sort(F.transform("nodes", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("node"))))["node"].alias("s"))
+    return ordered(row.select(F.explode("s").alias("x"), F.array(F.col("s")[0], F.element_at("s", -1)).alias("ends")).select("x", F.explode("ends").alias("y")))
+
+
+def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that differ in WIDE_RADIUS bits of the wide fingerprint at most."""
     for end in "uv":
         pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(BLOCKS // 2)]), end)
     return pairs.filter(sum(differing(F.col(f"u{k}"), F.col(f"v{k}")) for k in range(BLOCKS // 2)) <= WIDE_RADIUS).select("u", "v")
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` whose texts' whole sets of shingles have the similarity; only texts of pairs are read out."""
+    """Those of ``pairs`` whose texts' whole sets of shingles have the similarity; only texts of pairs are moved."""
+    pairs = staged(pairs, "candidates")
     asked = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "id", "digest", "a", "b"), "node"), "asked")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).cast("binary").alias("text"))
@@ -251,16 +269,22 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     classes = signed.groupBy("a", "b").agg(first, *[F.min(w).alias(w) for w in lanes])
     # numbered where it is written, and only read from then on
     nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "first.*", *lanes), "nodes")
-    pairs = staged(candidates(nodes), "candidates")
-    near = similar(docs, nodes, pairs, id_col, text_col)
     of = staged(signed.select("fp", "a", "b").distinct().join(nodes.select("a", "b", "node"), ["a", "b"]).select("fp", "node"), "prints")
     least = staged(of.groupBy("fp").agg(F.min("node").alias("least")), "least")
     same = of.join(least, "fp").filter("node > least").select(F.col("node").alias("x"), F.col("least").alias("y"))
     close = links(least.select("fp"))
     for end, name in (("u", "x"), ("v", "y")):
         close = close.join(least.select(F.col("fp").alias(end), F.col("least").alias(name)), end)
-    every = near.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(same).unionByName(close.select("x", "y"))
-    roots = components(every.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
+    # first those who share a block; then variants, but nothing that is connected already
+    cell, ends = cells(nodes)
+    near = similar(docs, nodes, alike(within_cells(cell, ends), nodes), id_col, text_col)
+    found = staged(components(ordered(same.unionByName(close.select("x", "y"))).unionByName(near).distinct()), "components")
+    pairs = across_cells(ends)
+    for end in "uv":
+        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    apart = pairs.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+    near = similar(docs, nodes, alike(apart, nodes), id_col, text_col)
+    roots = components(near.unionByName(found.filter("node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))))
     lost = nodes.select("node", "no_id", "id", "digest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = lost.groupBy("root").agg(F.min(F.struct("no_id", "id", "digest")).alias("first")).select(F.col("first.id").alias("keep"), F.col("first.digest").alias("keep_digest"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
