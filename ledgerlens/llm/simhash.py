@@ -167,7 +167,7 @@ def set_digest(found) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, fp, a, b, w0..): of each row a hash of its text, both fingerprints, the digest of its set of shingles."""
+    """(id, digest, fp, a, b, n, w0..): of each row a hash of its text, both fingerprints, digest and size of its set of shingles."""
     lanes = [f"w{k}" for k in range(BLOCKS // 2)]
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
 
@@ -175,16 +175,17 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         import numpy as np
 
         for batch in batches:
-            rows = np.zeros((batch.num_rows, 3 + len(lanes)), np.uint64)
+            rows = np.zeros((batch.num_rows, 4 + len(lanes)), np.uint64)
             for row, text in zip(rows, batch.column(2)):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 words = data.lower().split()
-                row[:3] = fingerprint(data), *set_digest(shingles(words, WORDS))
-                row[3:] = wide_fingerprint(words)
+                found = shingles(words, WORDS)
+                row[:4] = fingerprint(data), *set_digest(found), len(found)
+                row[4:] = wide_fingerprint(words)
             signed = rows.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(signed[:, k])) for k in range(signed.shape[1])]], ["id", "digest", "fp", "a", "b", *lanes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(signed[:, k])) for k in range(signed.shape[1])]], ["id", "digest", "fp", "a", "b", "n", *lanes])
 
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, digest long, fp long, a long, b long, " + ", ".join(f"{w} long" for w in lanes))
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, digest long, fp long, a long, b long, n long, " + ", ".join(f"{w} long" for w in lanes))
 
 
 def cells(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -222,17 +223,19 @@ def across_cells(ends: DataFrame) -> DataFrame:
     return ordered(row.select(F.explode("s").alias("x"), F.array(F.col("s")[0], F.element_at("s", -1)).alias("ends")).select("x", F.explode("ends").alias("y")))
 
 
-def alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` that differ in WIDE_RADIUS bits of the wide fingerprint at most."""
+def alike(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Those of ``pairs`` that differ in WIDE_RADIUS bits of the wide fingerprint at most, and whose sets' sizes allow for
+    the similarity: it is no more than the smaller size divided by the larger."""
     for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(BLOCKS // 2)]), end)
-    return pairs.filter(sum(differing(F.col(f"u{k}"), F.col(f"v{k}")) for k in range(BLOCKS // 2)) <= WIDE_RADIUS).select("u", "v")
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(BLOCKS // 2)]), end)
+    sizes = F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9
+    return pairs.filter(sizes & (sum(differing(F.col(f"u{k}"), F.col(f"v{k}")) for k in range(BLOCKS // 2)) <= WIDE_RADIUS)).select("u", "v")
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
     """Those of ``pairs`` whose texts' whole sets of shingles have the similarity; only texts of pairs are moved."""
     pairs = staged(pairs, "candidates")
-    asked = staged(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes.select("node", "id", "digest", "a", "b"), "node"), "asked")
+    asked = staged(pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct().join(nodes.select("node", "id", "digest", "a", "b"), "node"), "asked")
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked
     own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).cast("binary").alias("text"))
     met = own.join(asked, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("node", "text", "a", "b")
@@ -266,9 +269,9 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     signed = staged(signatures(docs, id_col, text_col), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
     lanes = [f"w{k}" for k in range(BLOCKS // 2)]
-    classes = signed.groupBy("a", "b").agg(first, *[F.min(w).alias(w) for w in lanes])
+    classes = signed.groupBy("a", "b").agg(first, F.min("n").alias("n"), *[F.min(w).alias(w) for w in lanes])
     # numbered where it is written, and only read from then on
-    nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "first.*", *lanes), "nodes")
+    nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "n", "first.*", *lanes), "nodes")
     of = staged(signed.select("fp", "a", "b").distinct().join(nodes.select("a", "b", "node"), ["a", "b"]).select("fp", "node"), "prints")
     least = staged(of.groupBy("fp").agg(F.min("node").alias("least")), "least")
     same = of.join(least, "fp").filter("node > least").select(F.col("node").alias("x"), F.col("least").alias("y"))
