@@ -7,13 +7,16 @@ so no group grows with the input; copies meet as one fingerprint beforehand. Com
 alternating large-star and small-star steps, whose aggregates are partial sums of their keys.
 
 ``survivors`` links, besides, documents whose sets of WORDS-word shingles have a similarity (Jaccard) of SIMILARITY or
-more. At that similarity 64 bits differ in far more than RADIUS, so a second, wide fingerprint of BLOCKS blocks is
-taken, and the ball is hashed in each block: a pair is a candidate if any block differs in RADIUS bits at most.
-Candidates are verified on the fingerprints, then on the whole sets of shingles, so that no other document is lost.
+more. The search is exact: in one order of all shingles, common ones last, two such sets share one of their first
+n - SIMILARITY * n + 1. Texts that share one are compared with the first of them, then, as far as they are not connected
+yet, with ever more of them, until no pair is left that is neither connected nor compared. Pairs are compared by size and
+by a sketch that never differs in more bits than the sets in shingles, then on the whole sets.
 """
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,11 +30,15 @@ SHINGLE = 3
 MAX_ROUNDS = 60
 #: The similarity of whole sets of shingles from which ``survivors`` calls documents near copies.
 WORDS, SIMILARITY = 5, 0.8
-#: The wide fingerprint: blocks of 32 bits, over the set of FEATURE-word shingles, which a changed word disturbs less
-#: than longer ones. Of random pairs with a similarity of just 0.8 through single changed words 98 % meet in a block.
-BLOCKS, FEATURE = 8, 2
-#: Bits of the wide fingerprint in which candidates may differ (at SIMILARITY 39 are expected, the deviation is 6).
-WIDE_RADIUS = 64
+#: Longs of a set's sketch: a bit is the parity of the shingles that fall on it.
+LANES = 8
+#: Texts of the sample that tells common shingles, how often one is there to be common, and the most that are told. These
+#: only set the order of shingles, and with it the cost: any order finds the same pairs.
+SAMPLE, OFTEN, COMMON = 20_000, 3, 500_000
+#: Representatives of a shingle's texts grow by so much from round to round.
+GROWTH = 8
+#: Rows whose sets of shingles are held at once.
+ROWS = 1000
 #: Up to so many rows of one id each go to all executors.
 BROADCAST_NODES = 200_000
 
@@ -146,17 +153,53 @@ def shingles(words: list[bytes], size: int):
     return np.unique(out)
 
 
-def wide_fingerprint(words: list[bytes]):
-    """The fingerprint of BLOCKS * 32 bits over the set of FEATURE-word shingles, as BLOCKS / 2 unsigned longs."""
+def sketch(found):
+    """LANES unsigned longs: of each bit, the parity of the shingles on it. Two differ in no more bits than the sets do."""
+    import numpy as np
+
+    at = np.bincount((found % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES)
+    return np.packbits((at & 1).astype(np.uint8)).view(np.uint64)
+
+
+def prefix(found, common, times, similarity: float = SIMILARITY):
+    """The first shingles of a set, rare ones first: sets of the similarity share at least one of them."""
+    import numpy as np
+
+    if not len(found):
+        return found
+    size = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        found = found[np.argsort(np.where(common[at] == found, times[at], 0), kind="stable")]
+    return found[:size]
+
+
+def common_shingles(docs: DataFrame, text_col: str):
+    """(hashes ascending, how often each) of shingles that a sample of the texts has often."""
     import numpy as np
 
-    found, lanes, step = shingles(words, FEATURE), BLOCKS // 2, 1 << 14
-    counts = np.zeros(64 * lanes, np.int64)
-    for i in range(0, len(found), step):
-        part = found[i : i + step]
-        hashes = np.stack([mixed(part + np.uint64(BASE * (k + 1) % (1 << 64))) for k in range(lanes)], axis=1)
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(len(part), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > len(found)).view(np.uint64)
+    every = max(1, docs.count() // SAMPLE)
+    source = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(F.col(text_col).cast("binary").alias("text"))
+
+    def run(batches):
+        for batch in small(batches):
+            sets = [shingles((t.as_buffer().to_pybytes() if t.is_valid else b"").lower().split(), WORDS) for t in batch.column(0)]
+            found, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["s", "c"])
+
+    often = source.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN)
+    told = often.orderBy(F.desc("c"), "s").limit(COMMON).toArrow()
+    found, times = (np.asarray(told.column(k).to_numpy(), np.int64) for k in (0, 1))
+    found = found.view(np.uint64)
+    order = np.argsort(found)
+    return found[order], times[order]
+
+
+def small(batches):
+    """The rows of ``batches``, ROWS at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
 
 
 def set_digest(found) -> tuple[int, int]:
@@ -167,37 +210,29 @@ def set_digest(found) -> tuple[int, int]:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, fp, a, b, n, w0..): of each row a hash of its text, both fingerprints, digest and size of its set of shingles."""
-    lanes = [f"w{k}" for k in range(BLOCKS // 2)]
+    """(id, digest, fp, a, b, n, w0.., prefix): of each row a hash of its text, its fingerprint, and of its set of
+    shingles the digest, size, sketch and first shingles."""
+    lanes = [f"w{k}" for k in range(LANES)]
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
 
     def run(batches):
         import numpy as np
 
-        for batch in batches:
-            rows = np.zeros((batch.num_rows, 4 + len(lanes)), np.uint64)
+        common, times = held.value
+        for batch in small(batches):
+            rows, first = np.zeros((batch.num_rows, 4 + LANES), np.uint64), []
             for row, text in zip(rows, batch.column(2)):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                words = data.lower().split()
-                found = shingles(words, WORDS)
+                found = shingles(data.lower().split(), WORDS)
                 row[:4] = fingerprint(data), *set_digest(found), len(found)
-                row[4:] = wide_fingerprint(words)
+                row[4:] = sketch(found)
+                first.append(prefix(found, common, times).view(np.int64))
             signed = rows.view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(np.ascontiguousarray(signed[:, k])) for k in range(signed.shape[1])]], ["id", "digest", "fp", "a", "b", "n", *lanes])
-
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, digest long, fp long, a long, b long, n long, " + ", ".join(f"{w} long" for w in lanes))
+            columns = [pa.array(np.ascontiguousarray(signed[:, k])) for k in range(signed.shape[1])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(first, pa.list_(pa.int64()))], ["id", "digest", "fp", "a", "b", "n", *lanes, "prefix"])
 
-
-def cells(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, cell), a cell being a value of a block, and (cell, p, q): its first and last node by a hash.
-
-    Those two stand for the cell. The hash is the same in all cells, so that those of a large group name the same few.
-    """
-    lanes = [F.col(f"w{k}") for k in range(BLOCKS // 2)]
-    values = [x for w in lanes for x in (F.shiftrightunsigned(w, 32), w.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))]
-    of = nodes.select("node", F.posexplode(F.array(*values)).alias("block", "value")).select("node", F.shiftleft(F.col("block").cast("long"), 32).bitwiseOR(F.col("value")).alias("cell"))
-    by = F.struct(F.xxhash64("node").alias("h"), "node")
-    return of, staged(of.groupBy("cell").agg(F.min(by).alias("p"), F.max(by).alias("q")).select("cell", F.col("p.node").alias("p"), F.col("q.node").alias("q")), "cells")
+    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, digest long, fp long, a long, b long, n long, " + ", ".join(f"{w} long" for w in lanes) + ", prefix array<long>")
 
 
 def ordered(pairs: DataFrame) -> DataFrame:
@@ -205,31 +240,43 @@ def ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
-def within_cells(of: DataFrame, ends: DataFrame) -> DataFrame:
-    """(u, v): the nodes of a cell with its first and its last."""
-    return ordered(of.join(ends.filter("p != q"), "cell").select(F.col("node").alias("x"), F.explode(F.array("p", "q")).alias("y")))
-
-
-def across_cells(ends: DataFrame) -> DataFrame:
-    """(u, v): cells emit their variants within half the radius; who meets on one, with the first and the last there.
-
-    A variant has at most 66 nodes, whatever the data, and never gives all pairs of them.
-    """
-    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(32)))])
-    spread = ends.repartition(int(ends.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell")
-    ball = spread.select("cell", F.explode(F.array_distinct(F.array("p", "q"))).alias("node")).select("node", F.explode(flips).alias("flip"), "cell").select("node", F.col("cell").bitwiseXOR(F.col("flip")).alias("variant"))
-    met = ball.groupBy("variant").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1)
-    row = met.select(F.array_sort(F.transform("nodes", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("node"))))["node"].alias("s"))
-    return ordered(row.select(F.explode("s").alias("x"), F.array(F.col("s")[0], F.element_at("s", -1)).alias("ends")).select("x", F.explode("ends").alias("y")))
-
-
 def alike(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` that differ in WIDE_RADIUS bits of the wide fingerprint at most, and whose sets' sizes allow for
-    the similarity: it is no more than the smaller size divided by the larger."""
+    """Those of ``pairs`` whose sketches allow for the similarity: of n_u and n_v shingles in sets of the similarity, no more
+    than (n_u + n_v) * (1 - similarity) / (1 + similarity) are in one only."""
     for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(BLOCKS // 2)]), end)
-    sizes = F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-9
-    return pairs.filter(sizes & (sum(differing(F.col(f"u{k}"), F.col(f"v{k}")) for k in range(BLOCKS // 2)) <= WIDE_RADIUS)).select("u", "v")
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(LANES)]), end)
+    most = (F.col("n_u") + F.col("n_v")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return pairs.filter(sum(differing(F.col(f"u{k}"), F.col(f"v{k}")) for k in range(LANES)) <= most).select("u", "v")
+
+
+def compared(left: DataFrame, roots: DataFrame | None, size: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(u, v): the texts of a shingle, of ``left`` (s, node, n), with the first ``size`` of them, and what is left of
+    ``left`` without those. Pairs that are connected, or whose sizes rule the similarity out, are left out."""
+    if roots is None:
+        rooted = left.withColumn("root", F.col("node"))
+    else:
+        rooted = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    met = rooted.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("node", "n", "root"))).alias("of"))
+    met = staged(met.filter((F.size("of") > 1) & F.exists("of", lambda x: x["root"] != F.col("of")[0]["root"])), "met")
+    each = met.select("s", F.slice("of", 1, size).alias("first"), F.posexplode("of").alias("at", "x"))
+    pairs = each.select("x", F.explode("first").alias("y")).filter("x.node > y.node AND x.root != y.root")
+    pairs = pairs.filter(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6)
+    return pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), each.filter(F.col("at") >= size).select("s", "x.node", "x.n")
+
+
+def connected(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) over ``edges`` and the links of all pairs of the similarity."""
+    left, roots, size = nodes.select(F.explode("prefix").alias("s"), "node", "n"), None, 1
+    while True:
+        pairs, left = compared(left, roots, size)
+        pairs = staged(alike(pairs, nodes), "alike")
+        if roots is None or not pairs.isEmpty():
+            near = similar(docs, nodes, pairs, id_col, text_col)
+            roots = staged(components(near.unionByName(edges)), "components")
+            edges = roots.filter("node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        if left.isEmpty():
+            return roots
+        size *= GROWTH
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -243,7 +290,7 @@ def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, te
     def run(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in small(batches):
             names, sets = [], []
             for node, text, a, b in zip(*[batch.column(k) for k in range(4)]):
                 found = shingles((text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split(), WORDS)
@@ -268,26 +315,17 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     signed = staged(signatures(docs, id_col, text_col), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
-    lanes = [f"w{k}" for k in range(BLOCKS // 2)]
-    classes = signed.groupBy("a", "b").agg(first, F.min("n").alias("n"), *[F.min(w).alias(w) for w in lanes])
+    lanes = [f"w{k}" for k in range(LANES)]
+    classes = signed.groupBy("a", "b").agg(first, F.min("n").alias("n"), *[F.min(w).alias(w) for w in lanes], F.first("prefix").alias("prefix"))
     # numbered where it is written, and only read from then on
-    nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "n", "first.*", *lanes), "nodes")
+    nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "n", "first.*", *lanes, "prefix"), "nodes")
     of = staged(signed.select("fp", "a", "b").distinct().join(nodes.select("a", "b", "node"), ["a", "b"]).select("fp", "node"), "prints")
     least = staged(of.groupBy("fp").agg(F.min("node").alias("least")), "least")
     same = of.join(least, "fp").filter("node > least").select(F.col("node").alias("x"), F.col("least").alias("y"))
     close = links(least.select("fp"))
     for end, name in (("u", "x"), ("v", "y")):
         close = close.join(least.select(F.col("fp").alias(end), F.col("least").alias(name)), end)
-    # first those who share a block; then variants, but nothing that is connected already
-    cell, ends = cells(nodes)
-    near = similar(docs, nodes, alike(within_cells(cell, ends), nodes), id_col, text_col)
-    found = staged(components(ordered(same.unionByName(close.select("x", "y"))).unionByName(near).distinct()), "components")
-    pairs = across_cells(ends)
-    for end in "uv":
-        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    apart = pairs.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
-    near = similar(docs, nodes, alike(apart, nodes), id_col, text_col)
-    roots = components(near.unionByName(found.filter("node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    roots = connected(docs, nodes, ordered(same.unionByName(close.select("x", "y"))), id_col, text_col)
     lost = nodes.select("node", "no_id", "id", "digest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = lost.groupBy("root").agg(F.min(F.struct("no_id", "id", "digest")).alias("first")).select(F.col("first.id").alias("keep"), F.col("first.digest").alias("keep_digest"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))

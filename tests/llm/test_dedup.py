@@ -169,6 +169,26 @@ def test_candidates_of_a_large_group(spark):
         rows.append((i, " ".join(other)))
     assert [r.doc_id for r in simhash.survivors(docs(spark, rows)).collect()] == [0]
 
+def test_pairs_alike_within_a_looser_group(spark):
+    """Texts below 0.8 to all others of their group but one are found, whichever texts stand for the group."""
+    rng = random.Random(21)
+    word = lambda: f"z{rng.randrange(10**7)}"
+    base = [f"w{rng.randrange(500)}" for _ in range(300)]
+    rows = []
+    for _ in range(150):
+        one = list(base)
+        at = rng.randrange(210)
+        one[at : at + 90] = [word() for _ in range(90)]
+        rows.append(" ".join(one))
+        other, at = list(one), rng.randrange(270)
+        other[at : at + 28] = [word() for _ in range(min(28, 300 - at))]
+        rows.append(" ".join(other))
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute_survivors(rows)
+    assert 100 < len(want) < 200
+    assert sorted((r.doc_id for r in simhash.survivors(docs(spark, rows)).collect()), key=str) == want
+
 
 def brute_removed(rows, length):
     seen = collections.Counter()
