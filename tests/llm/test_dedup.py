@@ -189,6 +189,29 @@ def test_pairs_alike_within_a_looser_group(spark):
     assert 100 < len(want) < 200
     assert sorted((r.doc_id for r in simhash.survivors(docs(spark, rows)).collect()), key=str) == want
 
+def test_one_passage_changed_added_or_dropped(spark):
+    rng = random.Random(22)
+    word = lambda: f"z{rng.randrange(10**7)}"
+    rows = []
+    for k in range(90):
+        n = rng.randint(60, 400)
+        base = [word() for _ in range(n)]
+        share = 0.79 + 0.001 * k  # the similarity, about
+        at, kind = rng.randrange(n // 2), k % 3
+        if kind == 0:
+            size = max(1, int(n * (1 - share) / (1 + share)) - 4)
+            other = base[:at] + [word() for _ in range(size)] + base[at + size :]
+        elif kind == 1:
+            other = base[:at] + [word() for _ in range(max(1, int(n / share - n) - 4))] + base[at:]
+        else:
+            other = base[:at] + base[at + max(1, int(n * (1 - share)) - 4) :]
+        rows += [" ".join(base), " ".join(other)]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute_survivors(rows)
+    assert 90 <= len(want) < 150
+    assert sorted((r.doc_id for r in simhash.survivors(docs(spark, rows)).collect()), key=str) == want
+
 
 def brute_removed(rows, length):
     seen = collections.Counter()
