@@ -72,7 +72,7 @@ class Best:
         """scores: one row per query of rows, one column per id."""
         import numpy as np
 
-        if scores.shape[1] > 4 * self.k:  # all that reach the k-th score, so ties are all still there
+        if scores.shape[1] > 4 * self.k and len(np.unique(ids)) == len(ids):  # all that reach the k-th score, so ties are all still there
             kth = np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
             least = np.maximum(kth, self.score[rows, -1])
             some = (scores >= least[:, None]).any(axis=0)
@@ -81,7 +81,12 @@ class Best:
                 return
         s = np.concatenate([self.score[rows], scores], axis=1)
         i = np.concatenate([self.id[rows], np.broadcast_to(ids, scores.shape)], axis=1)
-        order = np.lexsort((i, -s), axis=1)[:, : self.k]
+        order = np.lexsort((i, -s), axis=1)
+        s, i = np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+        again = (s[:, 1:] == s[:, :-1]) & (i[:, 1:] == i[:, :-1])
+        # rows that repeat an id and a score take one place
+        order = np.argsort(np.pad(again, ((0, 0), (1, 0))), axis=1, kind="stable")[:, : self.k]
+        s[:, 1:][again] = -np.inf
         self.score[rows] = np.take_along_axis(s, order, axis=1)
         self.id[rows] = np.take_along_axis(i, order, axis=1)
 

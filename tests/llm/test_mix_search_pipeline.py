@@ -84,6 +84,16 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert {tuple(r) for r in topk.top_k(df, 3, 20).collect()} == brute_top(rows, 3, 20)
 
 
+def test_top_k_of_repeated_rows(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(300)]
+    rows += [(7, [9.0, 9.0, 9.0, 9.0])] * 60 + [(8, [-9.0, -9.0, -9.0, -9.0])] * 60 + [(100, rows[100][1])] * 15
+    rows += [(9, [8.0 + j, 9.0, 9.0, 9.0]) for j in range(3)] * 20
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").coalesce(1)
+        assert {tuple(r) for r in topk.top_k(df).collect()} == brute_top(rows, 10, 100)
+
+
 def test_cover_tree_covers():
     import numpy as np
 
