@@ -4,7 +4,8 @@ A text is cut into sentences, each normalised to its words in lower case; senten
 identifiers, all others go, and the sequence of identifiers is matched against ordered rules, each a sequence of
 identifiers that must occur in that order (others may stand between them). Texts are cut twice: at sentence ends, so
 that a sentence may run over lines, and at sentence ends and line ends, so that a notice of one line is found among
-lines without a full stop. All of it is a projection: nothing is shuffled, and a text is never joined to another.
+lines without a full stop. Besides, sentences are found in the whole text as runs of lines, each from a sentence or line end
+to the next or a later line end, so that one may run over lines below a title or copyright line. All of it is a projection: nothing is shuffled, and a text is never joined to another.
 """
 
 from __future__ import annotations
@@ -86,6 +87,8 @@ RULES: list[tuple[str, tuple[int, ...]]] = [
 CUES = ("licens", "reserved", "permission", "warrant", "redistribut", "liable", "software", "domain")
 SENTENCE_END = r"[.!?;:]+(\s+|\z)"
 LINE_END = r"\n+"
+#: Stands for a sentence end in a normalised text.
+STOP = "\x01"
 
 
 def identifiers(text: Column, ends: str) -> Column:
@@ -95,6 +98,17 @@ def identifiers(text: Column, ends: str) -> Column:
     return F.transform(F.filter(bare, lambda s: s.isin(*SENTENCES.values())), lambda s: F.element_at(known, s))
 
 
+def runs(text: Column) -> Column:
+    """The known sentences that are whole runs of lines within a sentence, in order, as identifiers; the longest first."""
+    marked = F.regexp_replace(F.translate(text, STOP, " "), SENTENCE_END, STOP)
+    bare = F.lower(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}\n{STOP}]+", " "))
+    lines = F.regexp_replace(F.regexp_replace(F.trim(bare), r" *\n[ \n]*", "\n"), f" *{STOP} *", STOP)
+    longest = sorted(SENTENCES.values(), key=lambda s: (-len(s), s))
+    whole = rf"(?<![^\n{STOP}])(?:{'|'.join(s.replace(' ', r'[ \n]') for s in longest)})(?![^\n{STOP}])"
+    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
+    return F.transform(F.regexp_extract_all(lines, F.lit(whole), F.lit(0)), lambda s: F.element_at(known, F.translate(s, "\n", " ")))
+
+
 def matches(sequence: Column) -> list[Column]:
     """For each rule, whether its identifiers occur in this order in ",1,2,3,"."""
     return [sequence.rlike("," + ",([0-9]+,)*".join(map(str, ids)) + ",") for _, ids in RULES]
@@ -110,12 +124,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = F.coalesce(F.col(text_col), F.lit(""))
     cued = F.lower(text).rlike("|".join(CUES))
     none = F.array().cast("array<int>")
-    cut = docs.select(F.col(id_col), F.when(cued, identifiers(text, f"{SENTENCE_END}|{LINE_END}")).otherwise(none).alias("_lines"), F.when(cued, identifiers(text, SENTENCE_END)).otherwise(none).alias("_wrapped"))
-    # whichever cut knows more sentences; the lines if equal
-    best = cut.select(id_col, F.when(F.size("_wrapped") > F.size("_lines"), F.col("_wrapped")).otherwise(F.col("_lines")).alias("_ids"), "_lines", "_wrapped")
+    cut = docs.select(F.col(id_col), F.when(cued, identifiers(text, f"{SENTENCE_END}|{LINE_END}")).otherwise(none).alias("_lines"), F.when(cued, identifiers(text, SENTENCE_END)).otherwise(none).alias("_wrapped"), F.when(cued, runs(text)).otherwise(none).alias("_runs"))
+    # whichever knows most sentences; the lines, then the wrapped, if equal
+    two = F.when(F.size("_wrapped") > F.size("_lines"), F.col("_wrapped")).otherwise(F.col("_lines"))
+    best = cut.select(id_col, F.when(F.size("_runs") > F.size(two), F.col("_runs")).otherwise(two).alias("_ids"), "_lines", "_wrapped", "_runs")
     joined = lambda c: F.concat(F.lit(","), F.array_join(F.col(c).cast("array<string>"), ","), F.lit(","))
-    seen = best.select(id_col, "_ids", joined("_lines").alias("_a"), joined("_wrapped").alias("_b"))
-    found = seen.withColumn("_rules", F.when(F.size("_ids") > 0, F.array(*[a | b for a, b in zip(matches(F.col("_a")), matches(F.col("_b")))])))
+    seen = best.select(id_col, "_ids", joined("_lines").alias("_a"), joined("_wrapped").alias("_b"), joined("_runs").alias("_c"))
+    found = seen.withColumn("_rules", F.when(F.size("_ids") > 0, F.array(*[a | b | c for a, b, c in zip(*[matches(F.col(x)) for x in ("_a", "_b", "_c")])])))
     names = F.array(*[F.lit(n) for n, _ in RULES])
     first = F.array_position("_rules", F.lit(True))
     licenses = F.array_sort(F.array_distinct(F.filter(F.transform(names, lambda n, i: F.when(F.element_at("_rules", i + 1), n)), lambda n: n.isNotNull())))

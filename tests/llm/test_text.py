@@ -2,6 +2,7 @@
 
 import math
 import random
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -196,3 +197,16 @@ def test_risk_does_not_go_negative():
     good, bad = rng.normal(1, 0.5, (300, quality.N_FEATURES)), rng.normal(-1, 0.5, (100, quality.N_FEATURES))
     model = quality.fit(good, np.concatenate([good[:200], bad]), 2 / 3)
     assert model.score(bad).mean() < 0.2 and model.score(good).mean() > 0.8
+
+
+def test_licenses_below_title_and_copyright_lines(spark):
+    wrap = lambda s: textwrap.fill(s, 78)
+    said = {i: license_scan.SENTENCES[i] for i in (3, 4, 5, 6, 51)}
+    mit = "\n\n".join([wrap(said[3] + ":"), wrap(said[4] + "."), wrap(said[5] + ".") + "\n" + wrap(said[6] + ".")])
+    isc = wrap(said[51] + ".")
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n"
+    rows = [("MIT", f"MIT License\n\nCopyright (c) 2020 X\n\n{mit}\n"), ("MIT", f"Copyright (c) 2020 X\n{mit}"), ("ISC", f"ISC License\n\nCopyright (c) 2020, X\n\n{isc}"), ("GPL-3.0-or-later", f"Copyright (C) 2020  X\n\n{gpl}"), ("GPL-3.0-or-later", f"Copyright (C) 2020  X\n{gpl}"), ("GPL-3.0-or-later", "# x\n# Copyright (C) 2020  X\n#\n# " + gpl.replace("\n", "\n# ")), (None, "released under. the\nmit license")]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    assert [got[i].license for i in range(len(rows))] == [name for name, _ in rows]
+    assert got[0].sentence_ids == "3,4,5,6" and got[0].rule == 1 and got[4].sentence_ids == "31,32"
