@@ -215,13 +215,13 @@ def _rounded(df: DataFrame, *names: str) -> DataFrame:
 @_query(_hierarchy_sql("part", ["p_brand", "p_type", "p_size"]))
 def hierarchy_part(spark, sf_dir):
     part = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
-    return _rounded(hierarchy.hierarchy_candidates(part), "g3", "g3_reverse", "gk_lambda", "rows_per_value").drop("reason")
+    return _rounded(hierarchy.hierarchy_candidates(part, cells=None), "g3", "g3_reverse", "gk_lambda", "rows_per_value").drop("reason")
 
 
 @_query(_hierarchy_sql("(SELECT n_name, n_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)", ["n_name", "n_regionkey", "r_name"]))
 def hierarchy_nation(spark, sf_dir):
     geo = _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(_t(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return _rounded(hierarchy.hierarchy_candidates(geo.select("n_name", "n_regionkey", "r_name")), "g3", "g3_reverse", "gk_lambda", "rows_per_value").drop("reason")
+    return _rounded(hierarchy.hierarchy_candidates(geo.select("n_name", "n_regionkey", "r_name"), cells=None), "g3", "g3_reverse", "gk_lambda", "rows_per_value").drop("reason")
 
 
 _DETECT = _hierarchy_sql("(SELECT n_name, n_regionkey, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)", ["n_name", "n_regionkey", "r_name"])

@@ -181,3 +181,14 @@ def test_entry_and_queries(spark):
 
     assert entry.entry(spark).count() >= 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_hierarchy_queries_read_whole_tables(spark, monkeypatch):
+    from ledgerlens import queries
+
+    bounded = cells.bounded
+    monkeypatch.setattr(hierarchy, "bounded", lambda df, most, width: bounded(df, most and 100, width))
+    sf = "/root/testdata/sf0.001"
+    for name, table in (("hierarchy_part", "part"), ("hierarchy_nation", "customer")):
+        n = spark.read.parquet(f"{sf}/{table}.parquet").count()
+        assert n > 33 and {r.rows for r in queries.queries()[name](spark, sf).collect()} == {n}
