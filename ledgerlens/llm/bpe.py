@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from .common import documents
+from .common import documents, map_batches
 
 #: Bounds of what a worker remembers; beyond them it forgets and starts again, with the same results.
 MAX_PAIRS, MAX_PIECES = 500_000, 200_000
@@ -300,7 +300,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)], ["id", "ids"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_batches(source, run, f"id {dict(source.dtypes)['id']}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -315,7 +315,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
+    return map_batches(source, run, f"id {dict(source.dtypes)['id']}, text string").withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +337,7 @@ def digest(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return map_batches(source, run, f"id {dict(source.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def tokenized(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
@@ -361,7 +361,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None, text_col: str = "t
             yield pa.RecordBatch.from_arrays(columns, [*others, "ids", "n_tokens", "round_trip"])
 
     schema = StructType([*(f for f in source.schema.fields[:-1]), StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType()), StructField("round_trip", BooleanType())])
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_batches
+
 #: Bytes of text that a chunk has on average, at most.
 CHUNK_BYTES = 8_000_000
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -97,29 +99,93 @@ def slices(hashes, n: int):
     return [(int(at[a]), int(a), int(b)) for a, b in zip(lo, hi)]
 
 
+def _squeezed(data: bytes) -> bytes:
+    import pyarrow as pa
+
+    return pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def _unsqueezed(data: bytes, size: int):
+    import pyarrow as pa
+
+    return pa.Codec("zstd").decompress(data, size, asbytes=True)
+
+
 def pack_sorted(values) -> bytes:
-    """Ascending 64-bit numbers as differences of as many bytes as the largest one needs."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    width = max(1, (int(gaps[1:].max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + int(values[0]).to_bytes(8, "little") + gaps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Ascending 64-bit numbers as differences: the low bytes, which are noise, as they are, byte by byte of all; the
+    high ones, in which they are alike, compressed."""
+    gaps = np.diff(values).astype("<u8")
+    low = max(0, int(gaps.mean()).bit_length() - 1) // 8 if len(gaps) else 0
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T)
+    return bytes([low]) + len(gaps).to_bytes(4, "little") + int(values[0]).to_bytes(8, "little") + planes[:low].tobytes() + _squeezed(planes[low:].tobytes())
 
 
 def unpack_sorted(data: bytes):
-    width = data[0]
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(body), 8), np.uint8)
-    gaps[:, :width] = body
-    return np.cumsum(np.concatenate([[np.uint64(int.from_bytes(data[1:9], "little"))], gaps.view("<u8").ravel()]), dtype=np.uint64)
+    low, n = data[0], int.from_bytes(data[1:5], "little")
+    planes = np.empty((8, n), np.uint8)
+    planes[:low] = np.frombuffer(data, np.uint8, low * n, 13).reshape(low, n)
+    planes[low:] = np.frombuffer(_unsqueezed(data[13 + low * n :], (8 - low) * n), np.uint8).reshape(8 - low, n)
+    gaps = np.ascontiguousarray(planes.T).view("<u8").ravel()
+    return np.cumsum(np.concatenate([[np.uint64(int.from_bytes(data[5:13], "little"))], gaps]), dtype=np.uint64)
 
 
 def pack_counts(counts) -> bytes:
-    """Counts of one byte, with those from 255 on written behind."""
+    """Counts of one byte, compressed, with those from 255 on written behind."""
     large = counts >= 255
-    return len(counts).to_bytes(4, "little") + np.where(large, 255, counts).astype(np.uint8).tobytes() + counts[large].astype("<u8").tobytes()
+    small = _squeezed(np.where(large, 255, counts).astype(np.uint8).tobytes())
+    return len(counts).to_bytes(4, "little") + len(small).to_bytes(4, "little") + small + counts[large].astype("<u8").tobytes()
 
 
 def unpack_counts(data: bytes):
-    n = int.from_bytes(data[:4], "little")
-    out = np.frombuffer(data, np.uint8, n, 4).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<u8", offset=4 + n).astype(np.int64)
+    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    out = np.frombuffer(_unsqueezed(data[8 : 8 + size], n), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, "<u8", offset=8 + size).astype(np.int64)
     return out
+
+
+def chunked(docs: DataFrame, id_col: str, text_col: str, n_bytes: int, size: int) -> DataFrame:
+    """(chunk, rows): the rows (id, text as binary) of ``docs`` where they are read, ``size`` bytes of text a chunk at
+    most (a longer text is one alone), as a compressed Arrow stream; one row a chunk, dealt by chunk."""
+    import pyarrow as pa
+
+    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        first, number = TaskContext.get().partitionId() << 32, 0
+        held, n = [], 0
+
+        def packed():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([first + number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "rows"])
+
+        for batch in batches:
+            ends = np.cumsum([len(x.as_buffer() or b"") for x in batch.column(1)]) if batch.num_rows else np.zeros(0, np.int64)
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                upto = int(np.searchsorted(ends, before + size - n, side="right"))
+                if upto == at and not held:
+                    upto = at + 1  # a longer text
+                if upto > at:
+                    held.append(batch.slice(at, upto - at))
+                    n += int(ends[upto - 1]) - before
+                    at = upto
+                if at < batch.num_rows:
+                    yield packed()
+                    held, n, number = [], 0, number + 1
+        if held:
+            yield packed()
+
+    count = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / size))
+    return map_batches(source, run, "chunk long, rows binary").repartition(count, "chunk")
+
+
+def rows_of(table):
+    """The rows (id, text) of the chunks in an Arrow table of (chunk, rows)."""
+    import pyarrow as pa
+
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in table.column("rows")])

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, map_batches
 
 #: Expected number of labelled texts that the likelihoods are learnt from, a language; all if there are no more.
 TEXTS_A_LANGUAGE = 3_000
@@ -127,7 +127,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["lang", "bucket", "n"])
 
-    found = sample.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = map_batches(sample, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(sizes)
     counts = np.zeros((BUCKETS, len(languages)))
     place = {lang: j for j, lang in enumerate(languages)}
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             found = model.predict([t.as_buffer().to_pybytes().decode("utf-8", "replace") if t.is_valid else None for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["id", "lang_pred", "score"])
 
-    done = source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    done = map_batches(source, run, f"id {dict(source.dtypes)['id']}, lang_pred string, score double").withColumnRenamed("id", id_col)
     return done.select(id_col, (fold(id_col, FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 

@@ -1,25 +1,30 @@
 """LM scoring by stupid backoff over the corpus itself.
 
-The count tables of n-grams of each order are partitioned by hash. Every chunk of documents explodes its texts into
-n-grams, pre-aggregates them, and joins the tables by sending each bucket its sorted n-grams with their counts; the
-bucket sums over all chunks and answers with the totals. A document is scored by what the rest of the corpus
+The count tables of n-grams of each order are partitioned by hash. Every chunk of documents (made where they are read)
+explodes its texts into n-grams, pre-aggregates them, and joins the tables by sending each bucket its sorted n-grams with
+their counts; the bucket sums over all chunks and answers with the totals. A document is scored by what the rest of the corpus
 holds: its own occurrences are taken off every count. N-grams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import documents
-from .exchange import Prefixes, blocks, dealt, mixed, pack_counts, pack_sorted, slices, texts, unpack_counts, unpack_sorted
+from .common import documents, releasing
+from .exchange import CHUNK_BYTES, Prefixes, blocks, chunked, mixed, pack_counts, pack_sorted, rows_of, slices, texts, unpack_counts, unpack_sorted
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 #: The count that stands for none at the last order.
 UNSEEN = 0.5
 BLOCK = 1 << 20
+#: Bytes of text whose n-grams are pre-aggregated together, at most.
+CHUNK = 3 * CHUNK_BYTES // 2
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -59,11 +64,11 @@ def grams(words, owner, order: int):
 def _asked(table: pa.Table, n_buckets: int, order: int) -> pa.Table:
     chunk = table.column("chunk")[0].as_py()
     rows: list[tuple] = []
-    for n, (hashes, _) in enumerate(grams(*word_hashes(texts(table)), order)):
+    for n, (hashes, _) in enumerate(grams(*word_hashes(texts(rows_of(table))), order)):
         distinct, counts = np.unique(hashes, return_counts=True)
         for bucket, a, b in slices(distinct, n_buckets):
             rows.append((n * n_buckets + bucket, chunk, pack_sorted(distinct[a:b]), pack_counts(counts[a:b])))
-    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([r[1] for r in rows], pa.int64()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
 
 
 def _answered(table: pa.Table) -> pa.Table:
@@ -76,6 +81,7 @@ def _answered(table: pa.Table) -> pa.Table:
 
 
 def _scored(table: pa.Table, answers: pa.Table, n_buckets: int, order: int, corpus: int, id_type) -> pa.Table:
+    table = rows_of(table)
     m = table.num_rows
     words, owner = word_hashes(texts(table))
     tokens = np.bincount(owner, minlength=m)
@@ -127,43 +133,43 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
     """
     text = F.col(text_col)
     n_bytes, corpus = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.coalesce(F.sum(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))), F.lit(0))).first()
-    parts, n = dealt(docs, id_col, text_col, n_bytes)
-    kind = dict(parts.dtypes)["id"]
-    id_type = pa.schema([("id", _arrow(parts))]).field("id").type
-    asked = parts.groupBy("chunk").applyInArrow(lambda t: _asked(t, n, order), "bucket int, chunk int, keys binary, counts binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered, "chunk int, bucket int, totals binary")
+    parts = chunked(docs, id_col, text_col, n_bytes, CHUNK)
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_bytes / CHUNK_BYTES))
+    kind, id_type = dict(docs.dtypes)[id_col], to_arrow_type(docs.schema[id_col].dataType)
+    asked = parts.groupBy("chunk").applyInArrow(releasing(lambda t: _asked(t, n, order)), "bucket int, chunk long, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInArrow(releasing(_answered), "chunk long, bucket int, totals binary")
     done = parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda t, a: _scored(t, a, n, order, corpus, id_type), f"id {kind}, n_tokens long, n_longest long, log_score double, mean_log_score double")
+        releasing(lambda t, a: _scored(t, a, n, order, corpus, id_type)), f"id {kind}, n_tokens long, n_longest long, log_score double, mean_log_score double")
     return done.withColumnRenamed("id", id_col)
 
 
-def _arrow(parts: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(parts.schema["id"].dataType)
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = score(documents(spark, sf_dir))
     return done.select("doc_id", "n_tokens", "n_longest", F.round("mean_log_score", 5).alias("mean_log_score"))
 
 
-SQL = r"""
+def _sql(order: int = ORDER) -> str:
+    """w0 is a word, w1 the one before it, and so on; oN counts the n-grams of each text, eN those in all others."""
+    ws = [", ".join(f"w{k}" for k in range(n)) for n in range(order + 1)]
+    on = lambda t, n, shift=0: f"{t}.r = b.r AND " + " AND ".join(f"{t}.w{k} = b.w{k + shift}" for k in range(n))
+    tables = "".join(f",\no{n} AS (SELECT r, {ws[n]}, count(*) AS c FROM b WHERE w{n - 1} IS NOT NULL GROUP BY r, {ws[n]}), e{n} AS (SELECT r, {ws[n]}, u.c - o{n}.c AS c FROM o{n} JOIN (SELECT {ws[n]}, sum(c) AS c FROM o{n} GROUP BY {ws[n]}) u USING ({ws[n]}))" for n in range(1, order + 1))
+    joins = "".join(f"\n  LEFT JOIN e{n} ON {on(f'e{n}', n)}" for n in range(1, order + 1)) + "".join(f"\n  LEFT JOIN e{n} AS v{n} ON {on(f'v{n}', n, 1)}" for n in range(1, order))
+    back = lambda n: f" + (least(i, {order}) - {n}) * ln({BACKOFF})" if n < order else ""
+    cases = "".join(f"\n      WHEN e{n}.c > 0 THEN ln(e{n}.c / v{n - 1}.c){back(n)}" for n in range(order, 1, -1))
+    return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-t AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
-b AS (SELECT r, i, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS v FROM t),
-u1 AS (SELECT w, count(*) AS c FROM t GROUP BY w), o1 AS (SELECT r, w, count(*) AS c FROM t GROUP BY r, w),
-u2 AS (SELECT v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY v, w), o2 AS (SELECT r, v, w, count(*) AS c FROM b WHERE v IS NOT NULL GROUP BY r, v, w),
+t AS (SELECT r, unnest(ws) AS w0, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT r, i, w0, {", ".join(f"lag(w0, {k}) OVER (PARTITION BY r ORDER BY i) AS w{k}" for k in range(1, order))} FROM t){tables},
 n AS (SELECT count(*) AS c FROM t), m AS (SELECT r, count(*) AS c FROM t GROUP BY r),
 s AS (
-  SELECT b.r, CASE
-      WHEN u2.c - o2.c > 0 THEN ln((u2.c - o2.c) / (uv.c - ov.c))
-      ELSE ln(greatest(u1.c - o1.c, 0.5) / greatest(n.c - m.c, 1)) + CASE WHEN b.v IS NULL THEN 0 ELSE ln(0.4) END END AS x,
-    CASE WHEN u2.c - o2.c > 0 THEN 1 ELSE 0 END AS hit
-  FROM b JOIN u1 USING (w) JOIN o1 USING (r, w) JOIN m USING (r) CROSS JOIN n
-  LEFT JOIN u2 ON u2.v = b.v AND u2.w = b.w LEFT JOIN o2 ON o2.r = b.r AND o2.v = b.v AND o2.w = b.w
-  LEFT JOIN u1 uv ON uv.w = b.v LEFT JOIN o1 ov ON ov.r = b.r AND ov.w = b.v
+  SELECT b.r, CASE{cases}
+      ELSE ln(greatest(e1.c, {UNSEEN}) / greatest(n.c - m.c, 1)){back(1)} END AS x,
+    CASE WHEN e{order}.c > 0 THEN 1 ELSE 0 END AS hit
+  FROM b JOIN m ON m.r = b.r CROSS JOIN n{joins}
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_tokens, CAST(coalesce(sum(hit), 0) AS BIGINT) AS n_longest, round(avg(x), 5) AS mean_log_score
 FROM d LEFT JOIN s USING (r) GROUP BY d.r, doc_id, ws
 """
+
+
+SQL = _sql()

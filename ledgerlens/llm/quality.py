@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold
+from .common import documents, fold, map_batches
 
 #: Expected numbers of trusted positives and of unlabelled texts that the model is fitted on; tables with fewer rows
 #: are used whole.
@@ -103,7 +103,7 @@ def _featured(rows: DataFrame) -> DataFrame:
             xs = [features(t.as_buffer().to_pybytes() if t.is_valid else b"").tolist() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xs, pa.list_(pa.float64()))], ["id", "x"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, x array<double>")
+    return map_batches(rows, run, f"id {dict(rows.dtypes)['id']}, x array<double>")
 
 
 def _some(rows: DataFrame, key: str, n: int, most: int) -> DataFrame:
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                 s = model.score(np.array([features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]).reshape(batch.num_rows, N_FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["id", "score"])
 
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
+    return map_batches(source, run, f"id {dict(source.dtypes)['id']}, score double").withColumnRenamed("id", id_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +180,7 @@ def survivors(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
             x = np.array([features(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in texts]).reshape(batch.num_rows, N_FEATURES)
             yield batch.filter(pa.array(model.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
