@@ -10,10 +10,10 @@ independent 64-bit hash of the normalised text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, documents, hot_join, staged
+from .common import SPACES, documents, hot_join, one_of_each, staged
 
 #: Leaf runs and how many of them merge in one round; both powers of two.
 RUNS, FAN = 16, 4
@@ -58,16 +58,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that exact_dedup keeps, with all their columns.
 
-    The join back is by id and digest, which it is hashed on, so the choice among rows that repeat both needs no
-    further exchange.
+    The join back is by id, digest and length, which it is hashed on, so the choice among rows that repeat these needs
+    no further exchange.
     """
     records = digests(docs, id_col, text_col).withColumn("copies", F.lit(1).cast("long"))
-    kept = merge_runs(records).select("keep_id", "keep_points", F.col("digest").alias("keep_digest"))
+    kept = merge_runs(records).select(F.struct(F.col("keep_id").alias("id"), "digest", F.col("keep_points").alias("points")).alias("key"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)).alias("digest"), F.char_length(text).cast("long").alias("points"))
-    found = rows.join(kept, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("digest") == F.col("keep_digest")) & (F.col("points") == F.col("keep_points")))
-    nth = F.row_number().over(Window.partitionBy("keep_id", "keep_digest", "keep_points").orderBy(F.xxhash64("row")))
-    return found.withColumn("nth", nth).filter("nth = 1").select("row.*")
+    key = F.struct(F.col(id_col).alias("id"), F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)).alias("digest"), F.char_length(text).cast("long").alias("points"))
+    return one_of_each(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("key")), kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

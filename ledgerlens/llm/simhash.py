@@ -8,20 +8,21 @@ alternating large-star and small-star steps, whose aggregates are partial sums o
 
 ``survivors`` links, besides, documents whose sets of WORDS-word shingles have a similarity (Jaccard) of SIMILARITY or
 more. The search is exact: in one order of all shingles, common ones last, two such sets share one of their first
-n - SIMILARITY * n + 1. Texts that share one are compared with the first of them, then, as far as they are not connected
-yet, with ever more of them, until no pair is left that is neither connected nor compared. Pairs are compared by size and
-by a sketch that never differs in more bits than the sets in shingles, then on the whole sets.
+n - SIMILARITY * n + 1. Texts that share one are compared with the smallest of them; then, as far as they are not connected
+yet, with the nearest of them, and in the end with all, so that no pair is left that is neither connected nor compared.
+Pairs are compared by size and by a sketch that never differs in more bits than the sets in shingles, then on the whole sets.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hot_join, staged
+from .common import documents, hot_join, map_batches, one_of_each, releasing, staged
 from .exchange import BASE, mixed
 
 #: Bits in which linked fingerprints may differ; even, as half of it is what each side gives.
@@ -30,17 +31,19 @@ SHINGLE = 3
 MAX_ROUNDS = 60
 #: The similarity of whole sets of shingles from which ``survivors`` calls documents near copies.
 WORDS, SIMILARITY = 5, 0.8
-#: Longs of a set's sketch: a bit is the parity of the shingles that fall on it.
-LANES = 8
+#: Longs of a set's sketch, of a set of more than LARGE shingles: a bit is the parity of the shingles that fall on it.
+LANES, LARGE, WIDE = 8, 256, 64
 #: Texts of the sample that tells common shingles, how often one is there to be common, and the most that are told. These
 #: only set the order of shingles, and with it the cost: any order finds the same pairs.
 SAMPLE, OFTEN, COMMON = 20_000, 3, 500_000
-#: Representatives of a shingle's texts grow by so much from round to round.
-GROWTH = 8
 #: Rows whose sets of shingles are held at once.
 ROWS = 1000
-#: Up to so many rows of one id each go to all executors.
-BROADCAST_NODES = 200_000
+#: Up to so many rows of a few numbers each go to all executors.
+BROADCAST_ROWS = 100_000
+#: Texts are compared with the nearest by sketch again while more than this share of such pairs are near copies.
+AGAIN = 0.25
+#: Rows of a bucket of shingles, about; texts of a shingle from which they are compared in blocks.
+DEALT, BLOCK = 50_000, 4096
 
 
 def fingerprint(data: bytes | None, shingle: int = SHINGLE) -> int:
@@ -75,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())], ["id", "fp"])
 
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, fp long")
+    return map_batches(source, run, f"id {dict(source.dtypes)['id']}, fp long")
 
 
 def differing(a: Column, b: Column) -> Column:
@@ -154,24 +157,28 @@ def shingles(words: list[bytes], size: int):
 
 
 def sketch(found):
-    """LANES unsigned longs: of each bit, the parity of the shingles on it. Two differ in no more bits than the sets do."""
+    """LANES or WIDE unsigned longs: of each bit, the parity of the shingles on it. Two differ in no more bits than the
+    sets do; a wide one folds (by XOR of its parts) to the one of LANES."""
     import numpy as np
 
-    at = np.bincount((found % np.uint64(64 * LANES)).astype(np.int64), minlength=64 * LANES)
+    bits = 64 * (WIDE if len(found) > LARGE else LANES)
+    at = np.bincount((found % np.uint64(bits)).astype(np.int64), minlength=bits)
     return np.packbits((at & 1).astype(np.uint8)).view(np.uint64)
 
 
 def prefix(found, common, times, similarity: float = SIMILARITY):
-    """The first shingles of a set, rare ones first: sets of the similarity share at least one of them."""
+    """(first shingles of a set, rare ones first; how many are near): two sets of the similarity share one that is near in
+    the smaller set (either, of equal sizes) and among the first in the other."""
     import numpy as np
 
     if not len(found):
-        return found
+        return found, 0
     size = len(found) - math.ceil(similarity * len(found) - 1e-6) + 1
+    near = len(found) - math.ceil(2 * similarity / (1 + similarity) * len(found) - 1e-6) + 1
     if len(common):
         at = np.minimum(np.searchsorted(common, found), len(common) - 1)
         found = found[np.argsort(np.where(common[at] == found, times[at], 0), kind="stable")]
-    return found[:size]
+    return found[:size], near
 
 
 def common_shingles(docs: DataFrame, text_col: str):
@@ -187,7 +194,7 @@ def common_shingles(docs: DataFrame, text_col: str):
             found, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["s", "c"])
 
-    often = source.mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN)
+    often = map_batches(source, run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN)
     told = often.orderBy(F.desc("c"), "s").limit(COMMON).toArrow()
     found, times = (np.asarray(told.column(k).to_numpy(), np.int64) for k in (0, 1))
     found = found.view(np.uint64)
@@ -209,10 +216,14 @@ def set_digest(found) -> tuple[int, int]:
     return int(mixed(found).sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed(found ^ np.uint64(BASE)), initial=np.uint64(len(found))))
 
 
+def ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct (u, v), u > v, of (x, y)."""
+    return pairs.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest, fp, a, b, n, w0.., prefix): of each row a hash of its text, its fingerprint, and of its set of
+    """(id, digest, fp, a, b, n, near, sketch, prefix): of each row a hash of its text, its fingerprint, and of its set of
     shingles the digest, size, sketch and first shingles."""
-    lanes = [f"w{k}" for k in range(LANES)]
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).cast("binary").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col))
 
@@ -221,89 +232,190 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         common, times = held.value
         for batch in small(batches):
-            rows, first = np.zeros((batch.num_rows, 4 + LANES), np.uint64), []
+            rows, sketches, first = np.zeros((batch.num_rows, 5), np.uint64), [], []
             for row, text in zip(rows, batch.column(2)):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
                 found = shingles(data.lower().split(), WORDS)
-                row[:4] = fingerprint(data), *set_digest(found), len(found)
-                row[4:] = sketch(found)
-                first.append(prefix(found, common, times).view(np.int64))
+                some, near = prefix(found, common, times)
+                row[:] = fingerprint(data), *set_digest(found), len(found), near
+                sketches.append(sketch(found).view(np.int64))
+                first.append(some.view(np.int64))
             signed = rows.view(np.int64)
-            columns = [pa.array(np.ascontiguousarray(signed[:, k])) for k in range(signed.shape[1])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(first, pa.list_(pa.int64()))], ["id", "digest", "fp", "a", "b", "n", *lanes, "prefix"])
+            columns = [pa.array(np.ascontiguousarray(signed[:, k])) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array(sketches, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))], ["id", "digest", "fp", "a", "b", "n", "near", "sketch", "prefix"])
 
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, digest long, fp long, a long, b long, n long, " + ", ".join(f"{w} long" for w in lanes) + ", prefix array<long>")
+    return map_batches(source, run, f"id {dict(source.dtypes)['id']}, digest long, fp long, a long, b long, n long, near long, sketch array<long>, prefix array<long>")
 
 
-def ordered(pairs: DataFrame) -> DataFrame:
-    """Distinct (u, v), u > v, of (x, y)."""
-    return pairs.filter("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
+def kept_keys(rows: DataFrame, lookup: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` to ``lookup`` (one row a ``key``, which meets ``size`` rows): broadcast if it is small by
+    count, else split as in ``hot_join``, so that no task gathers a hot key."""
+    n, total = lookup.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(lookup), key)
+    return hot_join(rows, lookup, key, size, total).filter(F.col(size).isNotNull())
+
+
+def folded(sketch: Column) -> Column:
+    """A sketch as LANES longs."""
+    parts = [[sketch[i] for i in range(k, WIDE, LANES)] for k in range(LANES)]
+    return F.when(F.size(sketch) == WIDE, F.array(*[functools.reduce(Column.bitwiseXOR, p) for p in parts])).otherwise(sketch)
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` whose sketches allow for the similarity: of n_u and n_v shingles in sets of the similarity, no more
-    than (n_u + n_v) * (1 - similarity) / (1 + similarity) are in one only."""
+    """Those of ``pairs`` whose sizes and sketches allow for the similarity: of n_u and n_v shingles in sets of the
+    similarity, no more than (n_u + n_v) * (1 - similarity) / (1 + similarity) are in one only."""
     for end in "uv":
-        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), *[F.col(f"w{k}").alias(f"{end}{k}") for k in range(LANES)]), end)
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"), F.col("sketch").alias(f"sketch_{end}")), end)
+    u, v = F.col("sketch_u"), F.col("sketch_v")
+    same = F.size(u) == F.size(v)
+    bits = F.zip_with(F.when(same, u).otherwise(folded(u)), F.when(same, v).otherwise(folded(v)), differing)
     most = (F.col("n_u") + F.col("n_v")) * ((1 - similarity) / (1 + similarity)) + 1e-6
-    return pairs.filter(sum(differing(F.col(f"u{k}"), F.col(f"v{k}")) for k in range(LANES)) <= most).select("u", "v")
+    sized = F.least("n_u", "n_v") >= similarity * F.greatest("n_u", "n_v") - 1e-6
+    return pairs.filter(sized).filter(F.aggregate(bits, F.lit(0), lambda x, y: x + y) <= most).select("u", "v")
 
 
-def compared(left: DataFrame, roots: DataFrame | None, size: int, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(u, v): the texts of a shingle, of ``left`` (s, node, n), with the first ``size`` of them, and what is left of
-    ``left`` without those. Pairs that are connected, or whose sizes rule the similarity out, are left out."""
-    if roots is None:
-        rooted = left.withColumn("root", F.col("node"))
-    else:
-        rooted = left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = rooted.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("node", "n", "root"))).alias("of"))
-    met = staged(met.filter((F.size("of") > 1) & F.exists("of", lambda x: x["root"] != F.col("of")[0]["root"])), "met")
-    each = met.select("s", F.slice("of", 1, size).alias("first"), F.posexplode("of").alias("at", "x"))
-    pairs = each.select("x", F.explode("first").alias("y")).filter("x.node > y.node AND x.root != y.root")
-    pairs = pairs.filter(F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6)
-    return pairs.select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct(), each.filter(F.col("at") >= size).select("s", "x.node", "x.n")
+def near_pairs(s, node, root, n, near, lanes, own, nearest: bool, similarity: float = SIMILARITY):
+    """(u, v), u > v, of rows that share ``s``, of different roots, whose sizes and sketches allow for the similarity.
 
+    ``own``: only rows of different values are compared; None: all. ``nearest``: each row's nearest by sketch only. In
+    order of s and size, rows are compared with the next, the one after it, and so on, as long as any has one to compare.
+    """
+    import numpy as np
 
-def connected(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, root) over ``edges`` and the links of all pairs of the similarity."""
-    left, roots, size = nodes.select(F.explode("prefix").alias("s"), "node", "n"), None, 1
-    while True:
-        pairs, left = compared(left, roots, size)
-        pairs = staged(alike(pairs, nodes), "alike")
-        if roots is None or not pairs.isEmpty():
-            near = similar(docs, nodes, pairs, id_col, text_col)
-            roots = staged(components(near.unionByName(edges)), "components")
-            edges = roots.filter("node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))
-        if left.isEmpty():
-            return roots
-        size *= GROWTH
+    order = np.lexsort((n, s))
+    s, node, root, n, lanes = s[order], node[order], root[order], n[order], np.ascontiguousarray(lanes[order].T)
+    own = None if own is None else own[order]
+    share, far = (1 - similarity) / (1 + similarity), np.iinfo(np.int64).max
+    best, partner = np.full(len(s), far), np.zeros(len(s), np.int64)
+    active, found, step = np.flatnonzero(near[order]), [], 0
+    while len(active):
+        step += 1
+        active = active[active + step < len(s)]
+        there = active + step
+        active = active[(s[there] == s[active]) & (n[active] >= similarity * n[there] - 1e-6)]
+        open_ = root[active] != root[active + step]
+        if own is not None:
+            open_ &= own[active] != own[active + step]
+        a = active[open_]
+        b = a + step
+        apart = np.zeros(len(a), np.int64)
+        for lane in lanes:
+            apart += np.bitwise_count(lane[a] ^ lane[b])
+        good = apart <= (n[a] + n[b]) * share + 1e-6
+        a, b, apart = a[good], b[good], apart[good]
+        if nearest:
+            for x, y in ((a, b), (b, a)):
+                less = apart < best[x]
+                best[x[less]], partner[x[less]] = apart[less], y[less]
+        else:
+            found.append((node[a], node[b]))
+    if nearest:
+        x = np.flatnonzero(best < far)
+        found = [(node[x], node[partner[x]])]
+    u, v = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)]), axis=1)
+
+
+def compared(met: DataFrame, roots: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+    """(u, v): pairs of ``met`` (s, node, near) that share an s and aren't connected yet, as ``near_pairs`` has them.
+
+    Shingles whose texts are all connected go first. The others are dealt to buckets of about DEALT rows; one of more
+    than BLOCK texts is cut into blocks instead, and each two of its blocks are compared in a task of their own.
+    """
+    rooted = staged(met.select("s", "node", "near").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    live = staged(rooted.groupBy("s").agg(F.count("*").alias("times"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("s", "times"), "live")
+    rows = kept_keys(rooted, live, "s", "times").join(nodes.select("node", "n", folded(F.col("sketch")).alias("sketch")), "node")
+    total = live.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    buckets = max(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / DEALT))
+    n_blocks = F.ceil(F.col("times") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), n_blocks).cast("int")
+    whole = F.array(F.struct(F.pmod(F.xxhash64("s"), F.lit(buckets)).alias("bucket"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    cut = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.col("s").alias("bucket"), F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    placed = rows.withColumn("own", own).withColumn("at", F.explode(F.when(n_blocks == 1, whole).otherwise(cut)))
+    dealt = placed.select("at.bucket", "at.i", "at.j", "s", "own", "node", "root", "n", "near", "sketch")
+
+    def run(table):
+        import numpy as np
 
+        s, node, root, n, near, own = (table.column(c).to_numpy() for c in ("s", "node", "root", "n", "near", "own"))
+        lanes = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, LANES)
+        halves = table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        u, v = near_pairs(s, node, root, n, near, lanes, own if halves else None, nearest)
+        return pa.table({"u": u, "v": v})
 
-def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """Those of ``pairs`` whose texts' whole sets of shingles have the similarity; only texts of pairs are moved."""
-    pairs = staged(pairs, "candidates")
-    asked = staged(pairs.select(F.col("u").alias("node")).distinct().union(pairs.select("v").distinct()).distinct().join(nodes.select("node", "id", "digest", "a", "b"), "node"), "asked")
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked
-    own = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"), F.col(text_col).cast("binary").alias("text"))
-    met = own.join(asked, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("node", "text", "a", "b")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(releasing(run), "u long, v long").distinct()
 
-    def run(batches):
-        import numpy as np
 
-        for batch in small(batches):
-            names, sets = [], []
-            for node, text, a, b in zip(*[batch.column(k) for k in range(4)]):
-                found = shingles((text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split(), WORDS)
-                if set_digest(found) == (a.as_py() % (1 << 64), b.as_py() % (1 << 64)):
-                    names.append(node.as_py())
-                    sets.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "found"])
-
-    sets = staged(met.mapInArrow(run, "node long, found array<long>"), "sets")
-    for end in "uv":
-        pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("found").alias(f"of_{end}")), end)
-    shared = pairs.select("u", "v", F.size(F.array_intersect("of_u", "of_v")).alias("both"), (F.size("of_u") + F.size("of_v")).alias("sum"))
-    return shared.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("u", "v").distinct()
+def connected(docs: DataFrame, nodes: DataFrame, edges: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, root) over ``edges`` and the links of all pairs of the similarity.
+
+    The texts of a first shingle are compared with the smallest of them; then each with the nearest that it isn't
+    connected to, as long as that links many; then with all that are left. So every pair that shares one is connected or
+    compared in the end, and texts that are alike are connected by a few pairs of each.
+    """
+    entries = nodes.select(F.posexplode("prefix").alias("at", "s"), "node", "near").select("s", "node", (F.col("at") < F.col("near")).alias("near"))
+    counted = entries.groupBy("s").agg(F.count("*").alias("times"), F.min("node").alias("least"), F.max("near").alias("any"))
+    shared = staged(counted.filter("times > 1 AND any").select("s", "times", "least"), "shared")
+    met = staged(kept_keys(entries, shared, "s", "times").select("s", "node", "near", "least"), "met")
+    star = met.filter("node > least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    tried = staged(alike(star, nodes), "star")
+    texts = Sets(docs, nodes, id_col, text_col)
+    roots = staged(components(texts.similar(tried).unionByName(edges)), "components")
+    nearest = True
+    while True:
+        pairs = staged(alike(compared(met, roots, nodes, nearest).join(tried, ["u", "v"], "left_anti"), nodes), "pairs")
+        near, n = staged(texts.similar(pairs), "links"), pairs.count()
+        linked = near.count()
+        if linked:
+            edges = roots.filter("node > root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+            roots = staged(components(near.unionByName(edges)), "components")
+        if not nearest:
+            return roots
+        tried = tried.unionByName(pairs)
+        nearest = linked > AGAIN * n
+
+
+class Sets:
+    """The whole sets of shingles of the texts that were asked for so far; no text is read for it twice."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str):
+        self.docs, self.nodes, self.id_col, self.text_col = docs, nodes, id_col, text_col
+        self.known: DataFrame | None = None
+
+    def similar(self, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+        """Those of ``pairs`` whose whole sets have the similarity; only texts of pairs are moved."""
+        sets = self._of(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+        for end in "uv":
+            pairs = pairs.join(sets.select(F.col("node").alias(end), F.col("found").alias(f"of_{end}")), end)
+        shared = pairs.select("u", "v", F.size(F.array_intersect("of_u", "of_v")).alias("both"), (F.size("of_u") + F.size("of_v")).alias("sum"))
+        return shared.filter(F.col("both") >= similarity * (F.col("sum") - F.col("both")) - 1e-9).select("u", "v").distinct()
+
+    def _of(self, asked: DataFrame) -> DataFrame:
+        """(node, found)."""
+        if self.known is not None:
+            asked = asked.join(self.known.select("node"), "node", "left_anti")
+        asked = staged(asked.join(self.nodes.select("node", "id", "digest", "a", "b"), "node"), "asked")
+        asked = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+        own = self.docs.select(F.col(self.id_col).alias("_id"), F.xxhash64(self.text_col).alias("_digest"), F.col(self.text_col).cast("binary").alias("text"))
+        met = own.join(asked, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_digest") == F.col("digest"))).select("node", "text", "a", "b")
+
+        def run(batches):
+            import numpy as np
+
+            for batch in small(batches):
+                names, sets = [], []
+                for node, text, a, b in zip(*[batch.column(k) for k in range(4)]):
+                    found = shingles((text.as_buffer().to_pybytes() if text.is_valid else b"").lower().split(), WORDS)
+                    if set_digest(found) == (a.as_py() % (1 << 64), b.as_py() % (1 << 64)):
+                        names.append(node.as_py())
+                        sets.append(found.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "found"])
+
+        # rows that repeat id and text repeat a node
+        read = staged(map_batches(met, run, "node long, found array<long>"), "sets").dropDuplicates(["node"])
+        self.known = read if self.known is None else self.known.unionByName(read)
+        return self.known
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -315,23 +427,20 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     signed = staged(signatures(docs, id_col, text_col), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "digest")).alias("first")
-    lanes = [f"w{k}" for k in range(LANES)]
-    classes = signed.groupBy("a", "b").agg(first, F.min("n").alias("n"), *[F.min(w).alias(w) for w in lanes], F.first("prefix").alias("prefix"))
+    classes = signed.groupBy("a", "b").agg(first, F.first(F.struct("n", "near", "sketch", "prefix")).alias("of"))
     # numbered where it is written, and only read from then on
-    nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "n", "first.*", *lanes, "prefix"), "nodes")
+    nodes = staged(classes.select(F.monotonically_increasing_id().alias("node"), "a", "b", "first.*", "of.*"), "nodes")
     of = staged(signed.select("fp", "a", "b").distinct().join(nodes.select("a", "b", "node"), ["a", "b"]).select("fp", "node"), "prints")
     least = staged(of.groupBy("fp").agg(F.min("node").alias("least")), "least")
     same = of.join(least, "fp").filter("node > least").select(F.col("node").alias("x"), F.col("least").alias("y"))
     close = links(least.select("fp"))
     for end, name in (("u", "x"), ("v", "y")):
         close = close.join(least.select(F.col("fp").alias(end), F.col("least").alias(name)), end)
-    roots = connected(docs, nodes, ordered(same.unionByName(close.select("x", "y"))), id_col, text_col)
+    roots = connected(docs, nodes, staged(ordered(same.unionByName(close.select("x", "y"))), "edges"), id_col, text_col)
     lost = nodes.select("node", "no_id", "id", "digest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = lost.groupBy("root").agg(F.min(F.struct("no_id", "id", "digest")).alias("first")).select(F.col("first.id").alias("keep"), F.col("first.digest").alias("keep_digest"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
-    found = rows.join(kept, F.col("id").eqNullSafe(F.col("keep")) & (F.col("digest") == F.col("keep_digest")))
-    nth = F.row_number().over(Window.partitionBy("keep", "keep_digest").orderBy(F.xxhash64("row")))
-    return found.withColumn("nth", nth).filter("nth = 1").select("row.*")
+    kept = lost.groupBy("root").agg(F.min(F.struct("no_id", "id", "digest")).alias("first")).select(F.struct("first.id", "first.digest").alias("key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("key"))
+    return one_of_each(rows, kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
