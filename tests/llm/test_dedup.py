@@ -189,6 +189,24 @@ def test_pairs_alike_within_a_looser_group(spark):
     assert 100 < len(want) < 200
     assert sorted((r.doc_id for r in simhash.survivors(docs(spark, rows)).collect()), key=str) == want
 
+
+def test_a_shingle_of_many_texts_is_cut_into_blocks(spark, monkeypatch):
+    """With as many blocks as texts the pairs are those of one block."""
+    monkeypatch.setattr(simhash, "BLOCK", 1)
+    rng = random.Random(23)
+    word = lambda: f"z{rng.randrange(10**7)}"
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    rows = []
+    for _ in range(25):
+        one = base[:80] + [word() for _ in range(40)]
+        rows += [" ".join(one), " ".join(one[:110] + [word() for _ in range(6)])]
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    want = brute_survivors(rows)
+    assert len(want) < 40
+    assert sorted((r.doc_id for r in simhash.survivors(docs(spark, rows)).collect()), key=str) == want
+
+
 def test_one_passage_changed_added_or_dropped(spark):
     rng = random.Random(22)
     word = lambda: f"z{rng.randrange(10**7)}"

@@ -42,6 +42,13 @@ def brute_scores(rows, order):
     return sorted(out, key=repr)
 
 
+def test_lm_scores_do_not_depend_on_chunks(spark, monkeypatch):
+    rows = [(i, "a b c d e f g " * (1 + i % 5) + str(i % 3)) for i in range(40)] + [(50, "long " * 900), (51, ""), (52, None), (None, "a b")]
+    want = sorted(map(tuple, lm_score.score(docs(spark, rows)).collect()), key=repr)
+    monkeypatch.setattr(lm_score, "CHUNK", 100)
+    assert sorted(map(tuple, lm_score.score(docs(spark, rows).coalesce(1)).collect()), key=repr) == want
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scores(spark, order):
     rng = random.Random(order)
