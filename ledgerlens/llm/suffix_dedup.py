@@ -399,9 +399,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     """
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col))), F.lit(0))).first()[0]
     parts, n = dealt(docs, id_col, text_col, n_bytes)
-    from .lm_score import _arrow
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    kind, id_type = dict(parts.dtypes)["id"], _arrow(parts)
+    kind, id_type = dict(parts.dtypes)["id"], to_arrow_type(parts.schema["id"].dataType)
     chunks = parts.groupBy("chunk")
     asked = chunks.applyInArrow(lambda t: _asked(t, n, length), "bucket int, chunk int, start long, inner binary, outer binary, several binary")
     # as many tasks as buckets: left to themselves, small shuffles are put together by size, which isn't what they cost
