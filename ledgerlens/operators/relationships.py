@@ -78,9 +78,16 @@ def relationship_checks(spark: SparkSession, tables: dict[str, DataFrame], edges
     return spark.createDataFrame([(False, "no declared relationships", *[None] * 13)], CHECK_SCHEMA) if out is None else out
 
 
+#: Texts of more characters than this meet as a digest and their length, so that no whole document is shuffled.
+LONG_VALUE = 64
 CANDIDATE_SCHEMA = "seq bigint, from_col string, to_col string, cardinality string, overlap double, matched bigint, orphans bigint, from_distinct bigint, to_distinct bigint, to_unique boolean, to_temporal boolean, kc_from string, kc_to string"
 
 
+def _value(column: str):
+    text = F.col(f"`{column}`").cast("string")
+    return F.when(F.length(text) > LONG_VALUE, F.concat(F.md5(text.cast("binary")), F.lit(":"), F.length(text).cast("string"))).otherwise(text)
+
+
 def _cardinality(f_unique: bool, t_unique: bool) -> str:
     return "one-to-one" if f_unique and t_unique else "many-to-one" if t_unique else "one-to-many" if f_unique else "many-to-many"
 
@@ -102,7 +109,7 @@ def relationship_candidates(spark: SparkSession, tables: dict[str, DataFrame]) -
         if not own:
             continue
         rows_of[t] = tables[t].count()
-        each = F.array(*[F.struct(F.lit(base + i).alias("ci"), F.lit(c[2]).alias("kind"), F.col(f"`{c[1]}`").cast("string").alias("v")) for i, c in enumerate(own)])
+        each = F.array(*[F.struct(F.lit(base + i).alias("ci"), F.lit(c[2]).alias("kind"), _value(c[1]).alias("v")) for i, c in enumerate(own)])
         part = tables[t].select(F.explode(each).alias("c")).select("c.*").filter("v IS NOT NULL").groupBy("ci", "kind", "v").agg(F.count("*").alias("n"))
         values = part if values is None else values.unionByName(part)
         base += len(own)

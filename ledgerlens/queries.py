@@ -168,10 +168,12 @@ def relationship_checks_events_customer(spark, sf_dir):
     return _check(spark, _t(spark, sf_dir, "events"), "user_id", _t(spark, sf_dir, "customer"), "c_custkey", "events.user_id -> customer.c_custkey")
 
 
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 _SMALL = {"customer": [("c_custkey", "b"), ("c_name", "s"), ("c_nationkey", "i"), ("c_acctbal", "d"), ("c_mktsegment", "s")], "nation": [("n_nationkey", "i"), ("n_name", "s"), ("n_regionkey", "i")], "region": [("r_regionkey", "i"), ("r_name", "s")], "supplier": [("s_suppkey", "b"), ("s_name", "s"), ("s_nationkey", "i"), ("s_acctbal", "d")]}
 
 
 def _candidates_sql() -> str:
+    """No second columns of these tables hold each other's values, so none of their candidates has a composite key."""
     every = [(t, c, k) for t in sorted(_SMALL) for c, k in _SMALL[t]]
     vals = " UNION ALL ".join(f"SELECT {i} AS i, '{k}' AS kind, '{t}.{c}' AS label, CAST({c} AS VARCHAR) AS v FROM {t}" for i, (t, c, k) in enumerate(every))
     return f"""
@@ -180,14 +182,20 @@ s AS (SELECT i, any_value(kind) AS kind, any_value(label) AS label, count(v) AS
 m AS (SELECT a.i AS f, b.i AS k, count(*) AS n FROM u a JOIN u b ON a.v = b.v AND a.kind = b.kind AND a.i <> b.i GROUP BY a.i, b.i)
 SELECT row_number() OVER (ORDER BY m.k, m.f) AS seq, f.label AS from_col, k.label AS to_col,
   CASE (CASE WHEN f.d = f.filled THEN 1 ELSE 0 END) + (CASE WHEN k.d = k.filled THEN 2 ELSE 0 END) WHEN 3 THEN 'one-to-one' WHEN 2 THEN 'many-to-one' WHEN 1 THEN 'one-to-many' ELSE 'many-to-many' END AS cardinality,
-  m.n / f.d AS overlap, m.n AS matched, f.d - m.n AS orphans, f.d AS from_distinct, k.d AS to_distinct, k.d = k.filled AS to_unique
+  m.n / f.d AS overlap, m.n AS matched, f.d - m.n AS orphans, f.d AS from_distinct, k.d AS to_distinct, k.d = k.filled AS to_unique, false AS to_temporal, CAST(NULL AS VARCHAR) AS kc_from, CAST(NULL AS VARCHAR) AS kc_to
 FROM m JOIN s f ON f.i = m.f JOIN s k ON k.i = m.k
 WHERE k.d >= 2 AND 2 * m.n >= f.d AND k.d >= 0.9 * k.filled"""
 
 
 @_query(_candidates_sql())
 def relationship_candidates_small(spark, sf_dir):
-    return relationships.relationship_candidates(spark, {n: _t(spark, sf_dir, n) for n in _SMALL}).filter("kc_from IS NULL").drop("to_temporal", "kc_from", "kc_to")
+    return relationships.relationship_candidates(spark, {n: _t(spark, sf_dir, n) for n in _SMALL})
+
+
+@_query()
+def relationship_candidates_all(spark, sf_dir):
+    """Every table and candidate, composite keys included; a test holds the operator against brute force."""
+    return relationships.relationship_candidates(spark, {n: _t(spark, sf_dir, n) for n in _TABLES})
 
 
 def _hierarchy_sql(table: str, columns: list[str]) -> str:
@@ -351,14 +359,7 @@ def _balances(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return day, month.select("entity", "period", F.sum("m").over(Window.partitionBy("entity").orderBy("period")).alias("value"))
 
 
-@_query("""
-WITH f AS (SELECT c_nationkey AS e, date_trunc('month', o_orderdate) AS b, sum(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
-s AS (SELECT *, sum(m) OVER (PARTITION BY e ORDER BY b) AS y FROM f),
-r AS (SELECT e, sum(abs(y - m)) / sum(m) AS r_flow FROM s GROUP BY e)
-SELECT 'orders' AS event, 'month' AS grain, 'none' AS scope, count(*) AS entities, count(*) AS viable_entities, 'semi-additive' AS result, 'o_totalprice' AS convention, count(*) AS voted,
-  1.0::DOUBLE AS agreement, round((1 + 1.9208 / count(*) - 1.96 * sqrt(0.9604) / count(*)) / (1 + 3.8416 / count(*)), 6) AS support, round(median(r_flow), 4) AS r_flow
-FROM r""")
-def additivity_anchors_orders(spark, sf_dir):
+def _anchors(spark, sf_dir) -> DataFrame:
     day, stock = _balances(spark, sf_dir)
     kind = "side string, event string, align string, measure_align string, axis string, term string, identifier boolean, entity string, period timestamp, value double, reason string"
 
@@ -368,10 +369,27 @@ def additivity_anchors_orders(spark, sf_dir):
 
     made = piece(stock, side="measure", align="nation", axis="month").unionByName(piece(day, side="event", event="orders", align="nation", axis="day", term="o_totalprice"))
     made = made.unionByName(piece(spark.range(1), side="alignment", event="orders", align="nation", measure_align="nation", axis="day"))
-    found = additivity.additivity_anchors(made).filter("grain = 'month' AND scope = 'none' AND convention <> 'monotone'")
+    return additivity.additivity_anchors(made)
+
+
+@_query("""
+WITH f AS (SELECT c_nationkey AS e, date_trunc('month', o_orderdate) AS b, sum(o_totalprice) AS m FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+s AS (SELECT *, sum(m) OVER (PARTITION BY e ORDER BY b) AS y FROM f),
+r AS (SELECT e, sum(abs(y - m)) / sum(m) AS r_flow FROM s GROUP BY e)
+SELECT 'orders' AS event, 'month' AS grain, 'none' AS scope, count(*) AS entities, count(*) AS viable_entities, 'semi-additive' AS result, 'o_totalprice' AS convention, count(*) AS voted,
+  1.0::DOUBLE AS agreement, round((1 + 1.9208 / count(*) - 1.96 * sqrt(0.9604) / count(*)) / (1 + 3.8416 / count(*)), 6) AS support, round(median(r_flow), 4) AS r_flow
+FROM r""")
+def additivity_anchors_orders(spark, sf_dir):
+    found = _anchors(spark, sf_dir).filter("grain = 'month' AND scope = 'none' AND convention <> 'monotone'")
     return found.select("event", "grain", "scope", "entities", "viable_entities", "result", "convention", "voted", "agreement", F.round("support", 6).alias("support"), F.round("r_flow", 4).alias("r_flow"))
 
 
+@_query()
+def additivity_anchors_all(spark, sf_dir):
+    """Every anchor of the same cells; a test holds the operator against brute force."""
+    return _anchors(spark, sf_dir)
+
+
 def _workspace(spark, sf_dir):
     """A workspace over the nation and region tables, made for one query."""
     from . import kits

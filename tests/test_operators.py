@@ -1,6 +1,9 @@
 """Operators against worked examples and brute force."""
 
+import datetime
+import itertools
 import math
+import random
 import struct
 
 import pytest
@@ -11,7 +14,7 @@ from pyspark.sql import functions as F
 from ledgerlens.catalog.jsonschema import check
 from ledgerlens.functions import geometry
 from ledgerlens.functions.quantiles import at_rank
-from ledgerlens.operators import cells, derivation, hierarchy, loads, profiles, relationships, series
+from ledgerlens.operators import additivity, cells, derivation, hierarchy, loads, profiles, relationships, series
 from ledgerlens.plans.lineage import lineage
 
 
@@ -97,6 +100,109 @@ def test_relationship_candidates_and_rescue(spark):
     assert len(none) == 1 and none[0].seq is None
 
 
+def brute_candidates(tables):
+    """tables: name -> (columns, rows), all columns of one type; (from, to, cardinality, matched, kc_from, kc_to) of every candidate."""
+    cols = [(t, i) for t in sorted(tables) for i in range(len(tables[t][0]))]
+    name = lambda c: f"{c[0]}.{tables[c[0]][0][c[1]]}"
+    held = {c: [r[c[1]] for r in tables[c[0]][1] if r[c[1]] is not None] for c in cols}
+    own = {c: set(v) for c, v in held.items()}
+    unique = {c: len(own[c]) == len(held[c]) for c in cols}
+    kind = lambda f, t: ("one" if f else "many") + "-to-" + ("one" if t else "many")
+    admitted = [(f, k) for f in cols for k in cols if f != k and own[f] & own[k] and len(own[k]) >= 2 and 2 * len(own[f] & own[k]) >= len(own[f])]
+    single = [(f, k) for f, k in admitted if len(own[k]) >= 0.9 * len(held[k])]
+    out = {(name(f), name(k), kind(unique[f], unique[k]), len(own[f] & own[k]), None, None) for f, k in single}
+    both = lambda a, b: [(r[a[1]], r[b[1]]) for r in tables[a[0]][1] if r[a[1]] is not None and r[b[1]] is not None]
+    keyed = {frozenset((f[0], k[0])) for f, k in single}
+    for pf, pk in admitted:
+        if (pf, pk) in single or frozenset((pf[0], pk[0])) in keyed:
+            continue
+        found = []
+        for sf, sk in admitted:
+            if (sf[0], sk[0]) != (pf[0], pk[0]) or sf == pf or sk == pk or unique[sk]:
+                continue
+            left, right = both(pf, sf), both(pk, sk)
+            a, b = set(left), set(right)
+            if left and right and len(b) >= 2 and len(b) >= 0.9 * len(right) and len(b) >= 0.5 * len(a) and len(b) > len(own[sk]) and len(own[pk]) * len(own[sk]) >= 0.9 * len(right) and 2 * len(a & b) >= len(a):
+                found.append((-len(own[sf] & own[sk]) / len(own[sf]), cols.index(sf), cols.index(sk), sf, sk, len(a) == len(left), len(b) == len(right), len(a & b)))
+        if found:
+            *_, sf, sk, f_unique, k_unique, n = min(found)
+            (f, k), (cf, ck) = ((pf, pk), (sf, sk)) if len(own[pk]) >= len(own[sk]) else ((sf, sk), (pf, pk))
+            out.add((name(f), name(k), kind(f_unique, k_unique), n, name(cf), name(ck)))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_relationship_candidates_brute(spark, seed):
+    rng = random.Random(seed)
+    long = lambda x: None if x is None else f"{x:04d}" * 40 if x % 2 else str(x)
+    maybe = lambda x, p=0.05: None if rng.random() < p else x
+    grid = list(itertools.product(range(6), range(20, 29)))
+    tables = {
+        "line": (["doc", "pos", "v"], [(maybe(a), maybe(b), maybe(rng.randrange(9000, 9900))) for a, b in rng.choices(grid, k=70)]),
+        "grid": (["doc", "pos", "w"], [(a, b, maybe(rng.randrange(7000, 7005))) for a, b in grid[: rng.randrange(45, 55)]]),
+        "owner": (["id", "x"], [(i, maybe(rng.randrange(500, 530))) for i in range(500, 540)]),
+        "none": (["n"], [(None,)] * 3)}
+    tables = {t: (c, [tuple(map(long, r)) for r in rows]) for t, (c, rows) in tables.items()}
+    frames = {t: spark.createDataFrame(rows, ", ".join(f"{c} string" for c in columns)) for t, (columns, rows) in tables.items()}
+    want = brute_candidates(tables)
+    got = relationships.relationship_candidates(spark, frames).collect()
+    assert any(w[4] for w in want) and any(not w[4] for w in want)
+    assert {(r.from_col, r.to_col, r.cardinality, r.matched, r.kc_from, r.kc_to) for r in got} == want
+
+
+def brute_votes(measure, event, grain, scope):
+    """What one anchor of one event term says: (entities, viable, votes, r_flow of each entity)."""
+    at = lambda d: d.replace(day=1) if grain == "month" else d
+    summed = lambda cells: {k: sum(v for e, d, v in cells if (f"{e}@{d.year}" if scope == "year" else e, at(d)) == k) for k in {(f"{e}@{d.year}" if scope == "year" else e, at(d)) for e, d, _ in cells}}
+    m, e = summed(measure), summed(event)
+    viable = {x for x in {k[0] for k in m} if sum(k[0] == x for k in m) >= 4}
+    told = {}
+    for x in {k[0] for k in m} & {k[0] for k in e}:
+        both = sorted(k for k in m if k[0] == x and k in e)
+        y, mv = [m[k] for k in both], [e[k] for k in both]
+        over = lambda a, b: a / b if b > 0 else math.inf
+        rf = over(sum(abs(a - b) for a, b in zip(y, mv)), sum(map(abs, mv)))
+        rs = over(sum(abs(y[i] - y[i - 1] - mv[i]) for i in range(1, len(y))), sum(map(abs, mv[1:])))
+        low, high = min(rf, rs), max(rf, rs)
+        margin = 0 if math.isinf(low) else 1 if math.isinf(high) else 0 if high == 0 else (high - low) / (high + low)
+        fires = len(y) >= 4 and min(y) != max(y) and any(mv) and low <= 0.05 and margin >= 1 / 3
+        told[x] = ("semi-additive" if rs < rf else "additive") if fires else None
+    return len({k[0] for k in m} & {k[0] for k in e}), len(viable), told
+
+
+def test_additivity_anchors_brute(spark):
+    """All anchors of two tables of cells: every grain and scope, stocks and flows, and one entity that neither fits."""
+    rng = random.Random(4)
+    start = datetime.datetime(2023, 1, 1)
+    event, stock, flow = [], [], []
+    for e in "abcdef":
+        level = 0.0
+        for k in range(20):
+            day = start + datetime.timedelta(days=31 * k)
+            amount = float(rng.randrange(-50, 90))
+            level += amount
+            event.append((e, day, amount))
+            stock.append((e, day, level if e != "f" else float(rng.randrange(1000))))
+            flow.append((e, day, amount))
+    schema = "side string, event string, align string, measure_align string, axis string, term string, identifier boolean, entity string, period timestamp, value double, reason string"
+    for measure, result in ((stock, "semi-additive"), (flow, "additive")):
+        rows = [("measure", None, "acct", None, "day", None, None, *c, None) for c in measure] + [("event", "moves", "acct", None, "day", "amount", None, *c, None) for c in event]
+        rows.append(("alignment", "moves", "acct", "acct", "day", None, None, None, None, None, None))
+        found = additivity.additivity_anchors(spark.createDataFrame(rows, schema)).collect()
+        got = {(r.grain, r.scope): r for r in found if r.convention != "monotone"}
+        assert set(got) == {(g, s) for g in ("day", "month") for s in ("none", "year")}
+        assert {r.scope for r in found if r.convention == "monotone"} == {"none", "year"}
+        for (grain, scope), r in got.items():
+            entities, viable, told = brute_votes(measure, event, grain, scope)
+            votes = [v for v in told.values() if v]
+            wins = votes.count(result)
+            p = wins / entities
+            bound = (p + 1.9208 / entities - 1.96 * math.sqrt(p * (1 - p) / entities + 0.9604 / entities**2)) / (1 + 3.8416 / entities)
+            assert wins >= 0.8 * len(votes) and wins >= 0.5 * entities
+            assert (r.entities, r.viable_entities, r.result, r.convention, r.voted) == (entities, viable, result, "amount", len(votes))
+            assert r.agreement == pytest.approx(wins / len(votes)) and r.support == pytest.approx(bound)
+
+
 def test_hierarchy(spark):
     geo = spark.range(108).selectExpr("concat('z', id % 27) AS zip", "concat('c', (id % 27) % 9) AS city", "concat('k', (id % 27) % 9) AS city_code", "concat('s', (id % 27) % 3) AS state", "1.5D * id AS amount")
     got = {(r.from_col, r.to_col): r for r in hierarchy.hierarchy_candidates(geo).collect()}
