@@ -98,7 +98,7 @@ def relationship_candidates(spark: SparkSession, tables: dict[str, DataFrame]) -
     The values of all columns are reduced to one row a (type, value) with the set of columns that hold it; pairs of
     columns are counted from these sets, so a value costs one row however many rows hold it. What is left, a row a
     column and a row a column pair, is metadata, and decided on the driver. Where no key joins two tables, a second
-    column may scope the first (the composite rescue); only the column pairs which that needs are read again.
+    column may scope the first (the composite rescue); the column pairs which that needs are counted together, like columns.
     """
     cols = [(t, f.name, type_name(f.dataType), is_temporal(f.dataType)) for t in sorted(tables) for f in tables[t].schema.fields if is_scalar(f.dataType)]
     if not cols:
@@ -113,14 +113,14 @@ def relationship_candidates(spark: SparkSession, tables: dict[str, DataFrame]) -
         part = tables[t].select(F.explode(each).alias("c")).select("c.*").filter("v IS NOT NULL").groupBy("ci", "kind", "v").agg(F.count("*").alias("n"))
         values = part if values is None else values.unionByName(part)
         base += len(own)
-    stats = {r.ci: (r.filled, r.distinct) for r in values.groupBy("ci").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct")).collect()}
-    filled = {i: stats.get(i, (0, 0))[0] for i in range(len(cols))}
-    distinct = {i: stats.get(i, (0, 0))[1] for i in range(len(cols))}
-    holders = values.groupBy("kind", "v").agg(F.array_sort(F.collect_list("ci")).alias("cis")).filter(F.size("cis") > 1).groupBy("cis").agg(F.count("*").alias("n"))
-    met: dict[tuple[int, int], int] = {}
-    for r in holders.collect():
-        for a, b in combinations(r.cis, 2):
-            met[a, b] = met[b, a] = met.get((a, b), 0) + r.n
+    each = values.groupBy("kind", "v").agg(F.array_sort(F.collect_list(F.struct("ci", "n"))).alias("held"))
+    sums = each.select(F.col("held.ci").alias("cis"), F.posexplode("held.n").alias("at", "n")).groupBy("cis", "at").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct"))
+    filled, distinct, met = dict.fromkeys(range(len(cols)), 0), dict.fromkeys(range(len(cols)), 0), {}
+    for r in sums.collect():
+        filled[r.cis[r.at]] += r.filled
+        distinct[r.cis[r.at]] += r.distinct
+        for a, b in combinations(r.cis, 2) if r.at == 0 else ():
+            met[a, b] = met[b, a] = met.get((a, b), 0) + r.distinct
     unique = {i: distinct[i] == filled[i] for i in distinct}
     key_like = {i: filled[i] > 0 and distinct[i] >= 2 and distinct[i] >= 0.9 * filled[i] for i in distinct}
     admitted = [(f, k) for (f, k), m in sorted(met.items()) if cols[f][2] == cols[k][2] and distinct[k] >= 2 and m / distinct[f] >= 0.5]
@@ -135,6 +135,17 @@ def relationship_candidates(spark: SparkSession, tables: dict[str, DataFrame]) -
     return spark.createDataFrame(rows, CANDIDATE_SCHEMA)
 
 
+def _duos(tables, cols, duos: list[tuple[int, int]]) -> DataFrame:
+    """(d, v0, v1, n): of the column pairs, by their place, each pair of values and its rows; one pass a table for all of it."""
+    out = None
+    for t in sorted({cols[a][0] for a, _ in duos}):
+        own = [(i, a, b) for i, (a, b) in enumerate(duos) if cols[a][0] == t]
+        each = F.array(*[F.struct(F.lit(i).alias("d"), _value(cols[a][1]).alias("v0"), _value(cols[b][1]).alias("v1")) for i, a, b in own])
+        part = tables[t].select(F.explode(each).alias("c")).select("c.*").filter("v0 IS NOT NULL AND v1 IS NOT NULL").groupBy("d", "v0", "v1").agg(F.count("*").alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _rescues(tables, cols, rows_of, filled, distinct, unique, met, anchors, admitted, label) -> list[tuple]:
     scoped = [(pf, pk, sf, sk) for pf, pk in anchors for sf, sk in admitted
               if cols[sf][0] == cols[pf][0] and cols[sk][0] == cols[pk][0] and cols[sf][1] != cols[pf][1] and cols[sk][1] != cols[pk][1] and not unique[sk]
@@ -142,17 +153,28 @@ def _rescues(tables, cols, rows_of, filled, distinct, unique, met, anchors, admi
     if not scoped:
         return []
 
-    def both(a: int, b: int) -> DataFrame:
-        t = tables[cols[a][0]]
-        return t.select(F.col(f"`{cols[a][1]}`").cast("string").alias("v0"), F.col(f"`{cols[b][1]}`").cast("string").alias("v1")).filter("v0 IS NOT NULL AND v1 IS NOT NULL").groupBy("v0", "v1").agg(F.count("*").alias("n"))
+    at = sorted({tuple(sorted(d)) for pf, pk, sf, sk in scoped for d in ((pf, sf), (pk, sk))})
+    duo = {x: (0, 0) for d in at for x in (d, d[::-1])}
+    for r in _duos(tables, cols, at).groupBy("d").agg(F.sum("n").alias("filled"), F.count("*").alias("distinct")).collect():
+        duo[at[r.d]] = duo[at[r.d][::-1]] = (r.filled, r.distinct)
 
-    duo = {p: both(*p).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first() for p in sorted({(a[0], a[2]) for a in scoped} | {(a[1], a[3]) for a in scoped})}
+    def fits(pf: int, pk: int, sf: int, sk: int) -> bool:
+        (_, df), (to_filled, dt) = duo[pf, sf], duo[pk, sk]
+        return to_filled > 0 and distinct[pk] * distinct[sk] >= 0.9 * to_filled and dt >= 2 and dt >= 0.9 * to_filled and df > 0 and dt >= 0.5 * df and dt > distinct[sk]
+
+    scoped = [x for x in scoped if fits(*x)]
+    if not scoped:
+        return []
+    # the same two pairs of columns in the other order have the same values in common
+    meeting = lambda pf, pk, sf, sk: ((pf, sf), (pk, sk)) if pf < sf else ((sf, pf), (sk, pk))
+    at = sorted({d for x in scoped for d in meeting(*x)})
+    held = _duos(tables, cols, at).groupBy("v0", "v1").agg(F.array_sort(F.collect_list("d")).alias("ds")).filter(F.size("ds") > 1).groupBy("ds").agg(F.count("*").alias("n"))
+    pairs = held.select("ds", "n", F.explode("ds").alias("a")).select("a", F.explode("ds").alias("b"), "n").filter("a <> b").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    common = {(at[r.a], at[r.b]): r.n for r in pairs.collect()}
     best: dict[tuple[int, int], tuple] = {}
     for pf, pk, sf, sk in scoped:
         (from_filled, df), (to_filled, dt) = duo[pf, sf], duo[pk, sk]
-        if not (to_filled > 0 and distinct[pk] * distinct[sk] >= 0.9 * to_filled and dt >= 2 and dt >= 0.9 * to_filled and df > 0 and dt >= 0.5 * df and dt > distinct[sk]):
-            continue
-        matched = both(pf, sf).select("v0", "v1").join(both(pk, sk).select("v0", "v1"), ["v0", "v1"], "left_semi").count()
+        matched = common.get(meeting(pf, pk, sf, sk), 0)
         if matched / df < 0.5:
             continue
         order = (-met[sf, sk] / distinct[sf], sf, sk)
