@@ -386,7 +386,7 @@ def additivity_anchors_orders(spark, sf_dir):
 
 @_query()
 def additivity_anchors_all(spark, sf_dir):
-    """Every anchor of the same cells; a test holds the operator against brute force."""
+    """Every anchor of the same cells; a test holds votes, results and support of those by grain and scope against brute force."""
     return _anchors(spark, sf_dir)
 
 
