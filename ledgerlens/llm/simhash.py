@@ -98,6 +98,14 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.filter(differing(F.col("u"), F.col("v")) <= radius).distinct()
 
 
+def of_each(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """``edges`` with what ``least`` (one row a node, at most ``rows``) says of their u. No task gathers a hot node: few
+    rows are broadcast, of more those with many edges."""
+    if rows <= BROADCAST_ROWS:
+        return edges.join(F.broadcast(least), "u")
+    return hot_join(edges, least, "u", "degree", rows)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): root is the smallest node reachable; nodes without an edge are absent.
 
@@ -105,20 +113,20 @@ def components(edges: DataFrame) -> DataFrame:
     (small star); rounds are staged tables, and end when the edges no longer change.
     """
     edges = staged(edges, "edges")
-    mark = None
+    mark, rows = None, edges.count()
     for _ in range(MAX_ROUNDS):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("m", "u"))
+        large = of_each(both.filter("v > u"), least, 2 * rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.filter("u > v").distinct()
-        small_least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(small_least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small_least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        small = of_each(down, small_least, 2 * rows).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = staged(small.filter("u > v").distinct(), "edges")
         # equal sets of edges have equal sums of two independent hashes
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.sum(F.hash("v", "u").cast("long"))).first()
         if now == mark:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node").unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = now
+        mark, rows = now, now[0]
     raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
 
 

@@ -102,6 +102,17 @@ def test_components_of_a_long_chain(spark):
     assert simhash.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [0, simhash.BROADCAST_ROWS])
+def test_components_of_stars(spark, monkeypatch, broadcast):
+    """Stars around their least, their greatest and a middle node, of which one holds most edges; a bridge; a path."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", broadcast)
+    edges = [(i, 0) for i in range(1, 3000)] + [(9000, i) for i in range(5000, 6500)]
+    edges += [(max(i, 7500), min(i, 7500)) for i in range(7000, 8000) if i != 7500] + [(9000, 2999), (20001, 20000), (20002, 20001)]
+    rooted = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {i: 0 for i in [*range(3000), *range(5000, 6500), 9000]} | {i: 7000 for i in range(7000, 8000)} | {i: 20000 for i in range(20000, 20003)}
+    assert rooted == want
+
+
 def test_near_dedup_groups(spark):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [(5, base), (3, base), (4, base.upper().lower()), (9, "something else entirely " * 30), (None, base), (7, None), (8, "")]
