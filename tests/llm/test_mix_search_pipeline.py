@@ -94,6 +94,39 @@ def test_top_k_of_repeated_rows(spark):
         assert {tuple(r) for r in topk.top_k(df).collect()} == brute_top(rows, 10, 100)
 
 
+def test_top_k_holds_a_bounded_part_of_the_scores(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(10_000, 8))
+    x[::50] *= 30  # beyond single precision
+    x[7_000:7_400] = x[:400]  # ties
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").coalesce(1)
+    tasks, put = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, *a, **b: tasks.append((self, run)) or put(self, run, *a, **b))
+    topk.top_k(df, 3, 4)
+    (source, run), = tasks
+    batches = source.toArrow().combine_chunks().to_batches()
+    tracemalloc.start()
+    found = [r for b in run(iter(batches)) for r in zip(*b.to_pydict().values())]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    v = np.floor(x * 1024)
+    scores = v[::4] @ v.T  # 2,500 x 10,000: 200 MB
+    scores[np.arange(2_500), np.arange(0, 10_000, 4)] = -np.inf
+    best = np.argsort(-scores, axis=1, kind="stable")[:, :3]
+    assert set(found) == {(4 * q, int(i), int(scores[q, i])) for q in range(2_500) for i in best[q]}
+    assert peak < 50e6, peak
+
+
+def test_top_k_components_beyond_a_long(spark):
+    xs = [0.1, -0.1, 0.0, 1e15, 1e16, -1e16, 1e300, -1e300, 1.7e308]
+    rows = spark.createDataFrame([(i, [c]) for i, c in enumerate(xs)] + [(90, [None]), (91, [float("nan")]), (92, [float("-inf")])], "vec_id long, embedding array<double>")
+    ids, got = topk._by_width(topk.components(rows).toArrow().to_batches())[1]
+    assert dict(zip(ids.tolist(), got[:, 0].tolist())) == {r.id: r.v[0] for r in topk.vectors(rows).collect()}
+
+
 def test_cover_tree_covers():
     import numpy as np
 
