@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, hot_join, map_batches, one_of_each, releasing, staged
-from .exchange import BASE, mixed
+from .exchange import BASE, mixed, pack_counts, pack_sorted, slices, unpack_counts, unpack_sorted
 
 #: Bits in which linked fingerprints may differ; even, as half of it is what each side gives.
 RADIUS = 2
@@ -36,6 +36,8 @@ LANES, LARGE, WIDE = 8, 256, 64
 #: Texts of the sample that tells common shingles, how often one is there to be common, and the most that are told. These
 #: only set the order of shingles, and with it the cost: any order finds the same pairs.
 SAMPLE, OFTEN, COMMON = 20_000, 3, 500_000
+#: Parts that the sample's shingles are counted in, at least; hashes that are counted at once where the texts are read.
+PARTS, HELD = 256, 1 << 19
 #: Rows whose sets of shingles are held at once.
 ROWS = 1000
 #: Up to so many rows of a few numbers each go to all executors.
@@ -189,20 +191,64 @@ def prefix(found, common, times, similarity: float = SIMILARITY):
     return found[:size], near
 
 
+def counted(sets, parts: int):
+    """(part, hashes, counts) of all sets: distinct hashes ascending and how often each, packed a part of the hashes. What is
+    held grows to HELD hashes, or one set of more, before it is packed."""
+    import numpy as np
+
+    held, n = [], 0
+
+    def packed():
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        return [(part, pack_sorted(found[a:b]), pack_counts(times[a:b])) for part, a, b in slices(found, parts)]
+
+    for found in sets:
+        if n and n + len(found) > HELD:
+            yield packed()
+            held, n = [], 0
+        if len(found):
+            held.append(found)
+            n += len(found)
+    if held:
+        yield packed()
+
+
+def summed(packed):
+    """(hashes ascending, how often each) of all of ``packed`` (hashes, counts)."""
+    import numpy as np
+
+    found, times = (np.concatenate(x) for x in zip(*[(unpack_sorted(h), unpack_counts(c)) for h, c in packed]))
+    order = np.argsort(found, kind="stable")  # runs that are sorted already
+    found, times = found[order], times[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    return found[first], np.add.reduceat(times, first)
+
+
 def common_shingles(docs: DataFrame, text_col: str):
-    """(hashes ascending, how often each) of shingles that a sample of the texts has often."""
+    """(hashes ascending, how often each) of shingles that a sample of the texts has often.
+
+    Nearly every shingle of the sample is there once, so they travel packed, some thousands a row: as rows of their own they
+    fill the heaps of the executors.
+    """
     import numpy as np
 
     every = max(1, docs.count() // SAMPLE)
     source = docs.filter(F.pmod(F.xxhash64(text_col), F.lit(every)) == 0).select(F.col(text_col).cast("binary").alias("text"))
+    parts = max(PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
-        for batch in small(batches):
-            sets = [shingles((t.as_buffer().to_pybytes() if t.is_valid else b"").lower().split(), WORDS) for t in batch.column(0)]
-            found, times = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["s", "c"])
-
-    often = map_batches(source, run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN)
+        texts = (text for batch in small(batches) for text in batch.column(0))
+        sets = (shingles((t.as_buffer().to_pybytes() if t.is_valid else b"").lower().split(), WORDS) for t in texts)
+        for rows in counted(sets, parts):
+            part, hashes, counts = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(hashes, pa.binary()), pa.array(counts, pa.binary())], ["part", "hashes", "counts"])
+
+    def total(table):
+        found, times = summed(zip(*(table.column(c).to_pylist() for c in ("hashes", "counts"))))
+        often = times >= OFTEN
+        return pa.table({"s": found[often].view(np.int64), "c": times[often]})
+
+    often = map_batches(source, run, "part int, hashes binary, counts binary").groupBy("part").applyInArrow(releasing(total), "s long, c long")
     told = often.orderBy(F.desc("c"), "s").limit(COMMON).toArrow()
     found, times = (np.asarray(told.column(k).to_numpy(), np.int64) for k in (0, 1))
     found = found.view(np.uint64)

@@ -218,6 +218,28 @@ def test_a_shingle_of_many_texts_is_cut_into_blocks(spark, monkeypatch):
     assert sorted((r.doc_id for r in simhash.survivors(docs(spark, rows)).collect()), key=str) == want
 
 
+def test_common_shingles_are_counted_packed(spark, monkeypatch):
+    """The sample's shingles leave the workers as a row a part and HELD hashes, not one each; counts are those of brute force."""
+    monkeypatch.setattr(simhash, "HELD", 1000)
+    rng = random.Random(24)
+    texts = [" ".join(f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 300))) for _ in range(60)] + ["", None, " ".join(f"x{i}" for i in range(3000)), "a a a a a a a"] + ["b c"] * 300
+    sets = [simhash.shingles((t or "").lower().encode().split(), simhash.WORDS) for t in texts]
+    want = collections.Counter(int(h) for s in sets for h in s)
+    packed = list(simhash.counted(iter(sets), 16))
+    assert sum(map(len, sets)) / len(packed) > 400 and max(map(len, packed)) <= 16
+    assert sorted(sum(len(simhash.unpack_sorted(h)) for _, h, _ in p) for p in packed)[-2] <= 1000  # one text alone has more
+    got = {}
+    for part in range(16):
+        rows = [(h, c) for p in packed for at, h, c in p if at == part]
+        found, times = simhash.summed(rows)
+        got |= dict(zip(found.tolist(), times.tolist()))
+    assert got == want and want[int(simhash.shingles([b"b", b"c"], simhash.WORDS)[0])] == 300
+    assert list(simhash.counted(iter(sets[:0]), 16)) == list(simhash.counted([simhash.shingles([], 5)], 16)) == []
+    found, times = simhash.common_shingles(docs(spark, list(enumerate(texts))).repartition(3), "text")
+    assert dict(zip(found.tolist(), times.tolist())) == {h: n for h, n in want.items() if n >= simhash.OFTEN}
+    assert [len(x) for x in simhash.common_shingles(docs(spark, [(1, None)]), "text")] == [0, 0]
+
+
 def test_one_passage_changed_added_or_dropped(spark):
     rng = random.Random(22)
     word = lambda: f"z{rng.randrange(10**7)}"
