@@ -150,6 +150,45 @@ def test_relationship_candidates_brute(spark, seed):
     assert {(r.from_col, r.to_col, r.cardinality, r.matched, r.kc_from, r.kc_to) for r in got} == want
 
 
+@pytest.mark.parametrize("few", [(0, 50_000), (0, 0)])
+def test_relationship_candidates_narrowed(spark, monkeypatch, few):
+    """Composite keys are narrowed without loss, and pairs of values that can't be in common often enough aren't counted on the side of the key."""
+    monkeypatch.setattr(relationships, "FEW_ROWS", few[0])
+    monkeypatch.setattr(relationships, "FEW_PAIRS", few[1])
+    kept, narrowed = [], relationships._narrowed
+    monkeypatch.setattr(relationships, "_narrowed", lambda tables, cols, scoped, *a: kept.append((scoped, narrowed(tables, cols, scoped, *a))) or kept[-1][1])
+    for seed in range(2):
+        test_relationship_candidates_brute(spark, seed)
+    statement = spark.createDataFrame([(i % 2, f"r{i // 2 + 1}") for i in range(20)], "account_no int, reference string")
+    payment = spark.createDataFrame([(i % 2, f"r{i // 4 + 1}") for i in range(0, 20, 3)] + [(0, "r1")] * 9, "account_no int, reference string")
+    got = relationships.relationship_candidates(spark, {"statement": statement, "payment": payment}).collect()
+    assert any(r.kc_from for r in got) and len(kept) == 3 and all(after for _, after in kept)
+
+
+def test_relationship_candidates_values(spark):
+    """Values meet as their texts do, without being spelt out: both zeros apart, instants with and without a zone, more columns than a mask's word."""
+    rows = "SELECT explode(sequence(0, 9)) AS i"
+    a = spark.sql(f"SELECT CASE WHEN i = 0 THEN -0.0D WHEN i = 1 THEN double('NaN') WHEN i = 9 THEN NULL ELSE CAST(i AS DOUBLE) END AS x, timestamp_seconds(i) AS t FROM ({rows})")
+    b = spark.sql(f"SELECT CASE WHEN i = 1 THEN double('NaN') ELSE CAST(i AS DOUBLE) END AS x, CAST(timestamp_seconds(i) AS TIMESTAMP_NTZ) AS t FROM ({rows})")
+    got = {(r.from_col, r.to_col): r for r in relationships.relationship_candidates(spark, {"a": a, "b": b}).collect()}
+    assert {k: (r.matched, r.from_distinct, r.to_distinct) for k, r in got.items()} == {("a.x", "b.x"): (8, 9, 10), ("b.x", "a.x"): (8, 10, 9), ("a.t", "b.t"): (10, 10, 10), ("b.t", "a.t"): (10, 10, 10)}
+    wide = spark.sql(rows).selectExpr(*[f"i + {1000 * k} AS c{k}" for k in range(70)])
+    one = spark.sql(rows).selectExpr("i + 69000 AS k")
+    found = relationships.relationship_candidates(spark, {"wide": wide, "one": one}).collect()
+    assert {(r.from_col, r.to_col, r.matched) for r in found} == {("wide.c69", "one.k", 10), ("one.k", "wide.c69", 10)}
+    cells, made = [], relationships._masked
+
+    def masked(*args):
+        out = made(*args)
+        cells.append({f.name: f.dataType.simpleString() for f in out.schema.fields})
+        return out
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(relationships, "_masked", masked)
+        relationships.relationship_candidates(spark, {"a": a, "b": b})
+    assert cells == [{"v0": "double", "m0": "bigint"}, {"v0": "timestamp_ntz", "m0": "bigint"}]  # not as texts
+
+
 def brute_votes(measure, event, grain, scope):
     """What one anchor of one event term says: (entities, viable, votes, r_flow of each entity)."""
     at = lambda d: d.replace(day=1) if grain == "month" else d
