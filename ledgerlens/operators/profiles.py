@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import lower_median, quantiles
-from ..functions.types import is_scalar, is_temporal, type_name
+from ..functions.types import INTEGERS, is_scalar, is_temporal, type_name
 
 
 def _scalars(df: DataFrame, columns: list[str] | None) -> list[str]:
@@ -43,7 +43,9 @@ def outlier_profile(df: DataFrame, column: str) -> DataFrame:
     Fences at 1.5 interquartile ranges; modified z-scores over 3.5 by the median absolute deviation, none where that is
     zero. A column of which nothing parses as a number isn't applicable.
     """
-    x = F.expr(f"try_cast(CAST(`{column}` AS STRING) AS DOUBLE)")
+    # numbers that are their text's double already aren't spelt out
+    own = isinstance(df.schema[column].dataType, (*INTEGERS, T.DoubleType))
+    x = F.col(f"`{column}`").cast("double") if own else F.expr(f"try_cast(CAST(`{column}` AS STRING) AS DOUBLE)")
     values = df.select(x.alias("x")).filter("x IS NOT NULL")
     n = values.count()
     q1, med, q3 = quantiles(values, F.col("x"), [0.25, 0.5, 0.75], n)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.catalog.jsonschema import check
 from ledgerlens.functions import geometry
+from ledgerlens.functions import quantiles as quantile_functions
 from ledgerlens.functions.quantiles import at_rank
 from ledgerlens.operators import additivity, cells, derivation, hierarchy, loads, profiles, relationships, series
 from ledgerlens.plans.lineage import lineage
@@ -44,6 +45,32 @@ def test_exact_ranks_by_histograms(spark):
     assert at_rank(df, [0, 7, 30, len(xs) - 1]) == [sorted(xs)[k] for k in (0, 7, 30, len(xs) - 1)]
 
 
+def test_ranks_share_passes(spark, monkeypatch):
+    """All ranks are found in as many passes as one; infinities and NaN have their ranks too."""
+    xs = [1e-3 * k * k for k in range(5000)] + [math.inf, math.inf, -math.inf]
+    df = spark.createDataFrame([(x,) for x in xs + [math.nan]], "x double")
+    passes, collect = [], type(df).collect
+    monkeypatch.setattr(type(df), "collect", lambda self: passes.append(1) or collect(self))
+    at_rank(df, [2500])
+    one = len(passes)
+    ranks = [0, 1, 1250, 1251, 2500, 3750, 3751, len(xs) - 2, len(xs) - 1]
+    assert at_rank(df, ranks) == [sorted(xs)[k] for k in ranks]
+    assert len(passes) - one <= one + 2
+    monkeypatch.undo()
+    assert math.isnan(at_rank(df, [len(xs)])[0])
+
+
+def test_outliers_of_many_rows(spark, monkeypatch):
+    """Beyond what the built-in aggregate takes, the same profile; numbers are not read by way of their text."""
+    df = spark.createDataFrame([(i * i / 7, i * i, i / 10, str(i)) for i in range(2000)], "d double, l bigint, f float, s string")
+    want = {c: profiles.outlier_profile(df, c).first() for c in df.columns}
+    monkeypatch.setattr(quantile_functions, "IN_MEMORY", 0)
+    for c in df.columns:
+        out = profiles.outlier_profile(df, c)
+        assert out.first() == pytest.approx(want[c])
+        assert ("as string" in out._jdf.queryExecution().toString().lower()) == (c in "fs")
+
+
 def _dates(spark, *days):
     return spark.sql("SELECT explode(array(" + ", ".join(f"DATE'{d}'" for d in days) + ")) AS d")
 
